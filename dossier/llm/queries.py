@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from dossier.llm import quality_rules
+from dossier.llm import quality_net, quality_rules, url_filter
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,8 +19,54 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(documents, quality_rules.fit(documents, _t(spark, sf_dir, "labels")))
 
 
+#: Second-level names of the hosts whose pages make up the list of blocked URLs in op2.
+LISTED_NAMES = ("spam-farm", "casino-win", "free-bets", "ads-track", "cheap-pills", "adult-x")
+
+
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _t(spark, sf_dir, "pages")
+    url = F.col("url")
+    listed = pages.where(F.arrays_overlap(F.split(url_filter.host(url), r"\."), F.array(*map(F.lit, LISTED_NAMES)))).select(url_filter.canonical(url).alias("url"))
+    return url_filter.judge(pages, listed).drop("maybe_listed")
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _t(spark, sf_dir, "documents")
+    return quality_net.score(documents, quality_net.fit(documents, _t(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_url_filters": op2_url_filters,
+    "op9_quality_classifier": op9_quality_classifier,
 }
 
-ORACLES: dict[str, str] = {}
+_OP2_SQL = f"""
+with u as (
+  select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages
+), v as (
+  select page_id, rest,
+    translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path,
+    list_sort(list_filter(string_split(regexp_extract(rest, '^[^?#]*\\?([^#]*)', 1), '&'), lambda x: x <> '' and not regexp_matches(x, '^(utm_[a-z]+|ref|fbclid|gclid)(=|$)'))) as kept
+  from u
+), c as (
+  select page_id, host, path,
+    case when host <> '' then regexp_replace(regexp_replace(host, ':[0-9]+$', ''), '^(www|m)\\.', '')
+      || regexp_replace(regexp_replace(path, '/index\\.html?$', '/'), '/+$', '')
+      || case when len(kept) > 0 then '?' || array_to_string(kept, '&') else '' end end as canonical,
+    case when (host = 'example.net' or host like '%.example.net') and path like '/en/%' then 'example.net/en/'
+         when (host = 'example.com' or host like '%.example.com') and path like '/de/%' then 'example.com/de/'
+         when (host = 'org' or host like '%.org') and path like '/fr/%' then 'org/fr/'
+         when (host = 'net' or host like '%.net') and path like '/%' then 'net/' end as rule
+  from v
+), l as (
+  select distinct canonical from c where canonical is not null and list_has_any(string_split(host, '.'), {list(LISTED_NAMES)!r})
+)
+select page_id, host, path, rule,
+  case when rule in ('net/', 'example.com/de/') then 'block' when rule is not null then 'allow' when listed then 'block' else 'allow' end as verdict,
+  canonical, listed
+from (select c.*, l.canonical is not null as listed from c left join l on c.canonical = l.canonical)
+"""
+
+ORACLES: dict[str, str] = {"op2_url_filters": _OP2_SQL}
