@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from array import array
 from functools import lru_cache
 
 import ahocorasick
@@ -36,7 +37,7 @@ from dossier.llm import textbatch as tb
 
 END = "</w>"
 #: Pieces whose encodings a worker keeps; beyond it starts anew, which changes no result.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 1_000_000
 
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
 
@@ -76,8 +77,8 @@ class Vocabulary:
             x, y, z = vocab[a], vocab[b], vocab[a + b]
             self.merged[x, y] = (rank, z)
             self.parts.setdefault(z, (x, y, rank))
-        self.compatible: dict[tuple[int, int], bool] = {}
-        self.text: dict[int, str] = {}
+        self.compatible: dict[int, bool] = {}
+        self.sizes: dict[int, int] = {}
         automaton = ahocorasick.Automaton()
         for s, i in vocab.items():
             if i in self.special.values():
@@ -85,18 +86,18 @@ class Vocabulary:
             text = symbols(s)
             if i not in self.parts and len(text) > 1:
                 continue  # no merge makes it
-            self.text[i] = text
+            self.sizes[i] = len(text)
             automaton.add_word(text, (i, len(text)))
         automaton.make_automaton()
         self.automaton = automaton
 
     def fits(self, left: int, right: int) -> bool:
         """Whether merging by rank leaves these two tokens side by side."""
-        known = self.compatible.get((left, right))
+        known = self.compatible.get(left << 32 | right)
         if known is None:
-            known = self.compatible[left, right] = self._fits(left, right)
             if len(self.compatible) > 4 * CACHE_PIECES:
                 self.compatible.clear()
+            known = self.compatible[left << 32 | right] = self._fits(left, right)
         return known
 
     def _fits(self, a: int, b: int) -> bool:
@@ -119,36 +120,92 @@ class Vocabulary:
         raw = piece.encode("utf-8")
         text = raw[:-1].decode("latin-1") + chr(256 + raw[-1])
         n = len(text)
-        at: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+        longest = [-1] * n
         for end, (token, size) in self.automaton.iter(text):
-            at[end - size + 1].append((size, token))
-        for options in at:
-            options.sort(reverse=True)
+            longest[end - size + 1] = token  # ends ascend, so the longest stays
+        # Mostly the longest tokens fit all along; no step back is needed then.
+        out: list[int] = []
+        pos, last, fits, sizes = 0, -1, self.fits, self.sizes
+        while pos < n:
+            token = longest[pos]
+            if token < 0 or (last >= 0 and not fits(last, token)):
+                return self._backtrack(text)
+            out.append(token)
+            last = token
+            pos += sizes[token]
+        return out
+
+    def _backtrack(self, text: str) -> list[int]:
+        n = len(text)
+        at: list[list[int]] = [[] for _ in range(n)]
+        for end, (token, size) in self.automaton.iter(text):
+            at[end - size + 1].append(token)  # the longest last
         out: list[int] = []
         taken: list[tuple[int, int]] = []  # where each token of out starts and which option it is
         dead = bytearray(n + 1)
-        pos, option = 0, 0
+        fits, sizes = self.fits, self.sizes
+        pos, option = 0, len(at[0]) - 1
         while pos < n:
             options = at[pos]
-            while option < len(options):
-                size, token = options[option]
-                if not dead[pos + size] and (not out or self.fits(out[-1], token)):
+            while option >= 0:
+                token = options[option]
+                if not dead[pos + sizes[token]] and (not out or fits(out[-1], token)):
                     break
-                option += 1
+                option -= 1
             else:
                 if not out:
                     raise ArithmeticError("a piece has no encoding")
                 dead[pos] = 1
                 out.pop()
                 pos, option = taken.pop()
-                option += 1
+                option -= 1
                 continue
             out.append(token)
             taken.append((pos, option))
-            pos, option = pos + size, 0
+            pos += sizes[token]
+            option = len(at[pos]) - 1 if pos < n else 0
         return out
 
 
+CONTRACTED = {(ord("s"), 0), (ord("t"), 0), (ord("m"), 0), (ord("d"), 0), (ord("r"), ord("e")), (ord("v"), ord("e")), (ord("l"), ord("l"))}
+SPACE, LETTER, NUMBER, OTHER = range(4)
+
+
+@lru_cache(maxsize=1)
+def _code_tables() -> tuple[np.ndarray, np.ndarray]:
+    """Class of each code point, and a random odd number for each."""
+    every = np.arange(0x110000, dtype="<u4")
+    every[0xD800:0xE000] = 32  # no text holds surrogates
+    shown = every.tobytes().decode("utf-32-le")
+    kind = np.full(len(every), OTHER, np.uint8)
+    for pattern, value in ((r"\p{L}+", LETTER), (r"\p{N}+", NUMBER), (r"\p{White_Space}+", SPACE)):
+        for m in regex.finditer(pattern, shown):
+            kind[m.start() : m.end()] = value
+    return kind, np.random.default_rng(31).integers(1, 1 << 63, len(every), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def piece_spans(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each piece of PIECE in lower-cased code points."""
+    kind = _code_tables()[0][codes]
+    new = np.ones(len(codes), bool)
+    new[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == NUMBER)
+    start = np.flatnonzero(new)
+    end = np.r_[start[1:], len(codes)]
+    # An apostrophe that starts a piece takes the letters of a contraction from the run behind it.
+    lone = np.flatnonzero((codes[start[:-1]] == 39) & (end[:-1] - start[:-1] == 1) & (kind[start[1:]] == LETTER)) if len(start) > 1 else np.zeros(0, np.int64)
+    if len(lone):
+        one = codes[end[lone]]
+        two = codes[np.minimum(end[lone] + 1, len(codes) - 1)]
+        two = np.where(end[lone] + 1 < end[lone + 1], two, 0)
+        take = np.zeros(len(lone), np.int64)
+        for x, y in CONTRACTED:
+            take[(one == x) & (two == y if y else True)] = 2 if y else 1
+        end[lone] += take
+        start[lone + 1] += take
+    real = (kind[np.minimum(start, len(codes) - 1)] != SPACE) & (start < end)
+    return start[real], end[real]
+
+
 class Encoder(dict):
     """Maps a piece to its ids as little-endian unsigned 32-bit integers."""
 
@@ -160,22 +217,52 @@ class Encoder(dict):
     def __missing__(self, piece: str) -> bytes:
         if len(self) > CACHE_PIECES:
             self.clear()
-        ids = np.array(self.vocabulary.encode_piece(piece), "<u4").tobytes()
+        ids = array("I", self.vocabulary.encode_piece(piece)).tobytes()
         if len(piece) < 64:
             self[piece] = ids
         return ids
 
-    def _plain(self, text: str) -> bytes:
+    @staticmethod
+    def normal(text: str) -> str:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return b"".join(map(self.__getitem__, PIECE.findall(text.lower())))
+        return text.lower()
+
+    def _plain(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, PIECE.findall(self.normal(text))))
 
     def encode(self, text: str) -> bytes:
-        if self.marks and "<|" in text:
+        if self.marks and "<|" in text and self.marks.search(text):
             special = self.vocabulary.special
-            return b"".join(np.array([special[p]], "<u4").tobytes() if k % 2 else self._plain(p) for k, p in enumerate(self.marks.split(text)))
+            return b"".join(array("I", [special[p]]).tobytes() if k % 2 else self._plain(p) for k, p in enumerate(self.marks.split(text)))
         return self._plain(text)
 
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text. A block's pieces are found at once, and each different one is encoded once."""
+        marked = {k for k, x in enumerate(texts) if "<|" in x and self.marks and self.marks.search(x)}
+        ready = ["" if k in marked else self.normal(x) for k, x in enumerate(texts)]
+        whole = "\n".join(ready)
+        codes = np.frombuffer(whole.encode("utf-32-le"), "<u4")
+        off = np.zeros(len(texts) + 1, np.int64)
+        np.cumsum([len(x) + 1 for x in ready], out=off[1:])
+        start, end = piece_spans(codes)
+        powers, inverses = tb._tables(len(codes))
+        prefix = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum(_code_tables()[1][codes] * powers[: len(codes)], out=prefix[1:])
+        key = (prefix[end] - prefix[start]) * inverses[start]
+        _, first, which = np.unique(key, return_index=True, return_inverse=True)
+        if not tb.same_spans(codes, start, end, start[first[which]], end[first[which]]).all():  # two pieces of one hash
+            return [np.frombuffer(self.encode(x), "<u4") for x in texts]
+        ids = [self[whole[a:b]] for a, b in zip(start[first].tolist(), end[first].tolist())]
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        at = np.cumsum(size) - size
+        n = size[which]
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if len(ends) else 0
+        out = np.frombuffer(b"".join(ids), "<u4")[np.arange(total) + np.repeat(at[which] - (ends - n), n)]
+        cut = np.r_[0, ends][np.searchsorted(start, off)]
+        return [np.frombuffer(self.encode(texts[k]), "<u4") if k in marked else out[cut[k] : cut[k + 1]] for k in range(len(texts))]
+
 
 class Decoder:
     """Offset table of all tokens' strings, each with a space after it."""
@@ -201,17 +288,28 @@ def _tools(path: str) -> tuple[Encoder, Decoder]:
     return Encoder(v), Decoder(v)
 
 
-def encode(documents: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens and ids, little-endian unsigned 32-bit integers in a binary."""
+def _texts(t: tb.Texts) -> list[str]:
+    raw = t.data.tobytes()
+    return [raw[a:b].decode("utf-8", "replace") for a, b in zip(t.off[:-1].tolist(), t.off[1:].tolist())]
 
+
+def _encoded(documents: DataFrame, path: str, decoded: bool) -> DataFrame:
     def run(batches):
-        enc, _ = _tools(path)
+        enc, dec = _tools(path)
         for batch, t in tb.blocks(batches, "text"):
-            raw = t.data.tobytes()
-            ids = [enc.encode(raw[a:b].decode("utf-8", "replace")) for a, b in zip(t.off[:-1].tolist(), t.off[1:].tolist())]
-            yield tb.output(batch, ["doc_id"], {"n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids": pa.array(ids, pa.binary())})
+            ids = enc.encode_all(_texts(t))
+            out = {"n_tokens": pa.array([len(x) for x in ids], pa.int64()), "ids": pa.array([x.tobytes() for x in ids], pa.binary())}
+            if decoded:
+                out["decoded"] = pa.array([dec.decode(x) for x in ids], pa.binary()).cast(pa.string())
+            yield tb.output(batch, ["doc_id"], out)
+
+    schema = "doc_id long, n_tokens long, ids binary" + ", decoded string" * decoded
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+def encode(documents: DataFrame, path: str) -> DataFrame:
+    """doc_id, n_tokens and ids, little-endian unsigned 32-bit integers in a binary."""
+    return _encoded(documents, path, False)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -224,7 +322,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 ids = part.column(names.index("ids"))
-                text = [dec.decode(np.frombuffer(x.as_buffer(), "<u4").astype(np.int64)).decode("utf-8") if x.is_valid else "" for x in ids]
+                text = [dec.decode(np.frombuffer(x.as_buffer(), "<u4")).decode("utf-8") if x.is_valid else "" for x in ids]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(text, pa.string())], names=[*names, "decoded"])
 
     return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())]))
@@ -232,4 +330,4 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 def round_trip(documents: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids and decoded in one pass over the texts."""
-    return decode(encode(documents, path), path)
+    return _encoded(documents, path, True)
