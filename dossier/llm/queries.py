@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.llm import bpe, quality_net, quality_rules, simhash, url_filter
+from dossier.llm import bpe, quality_net, quality_rules, simhash, topk, url_filter, warc
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op4_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(topk.quantized(_t(spark, sf_dir, "embeddings")), F.col("vec_id") % 20 == 0)
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.labelled(_t(spark, sf_dir, "documents"))
 
@@ -46,12 +50,18 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_net.score(documents, quality_net.fit(documents, _t(spark, sf_dir, "labels")))
 
 
+def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_t(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_url_filters": op2_url_filters,
     "op4_bpe_encoding": op4_bpe_encoding,
+    "op7_exact_topk": op7_exact_topk,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_quality_classifier": op9_quality_classifier,
+    "op10_warc_revisits": op10_warc_revisits,
 }
 
 _OP2_SQL = f"""
@@ -82,4 +92,30 @@ select page_id, host, path, rule,
 from (select c.*, l.canonical is not null as listed from c left join l on c.canonical = l.canonical)
 """
 
-ORACLES: dict[str, str] = {"op2_url_filters": _OP2_SQL}
+_OP7_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(64 * cast(x as double))) as e, row_number() over () as r
+  from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+  select q.vec_id as query_id, q.r, c.vec_id, cast(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) as bigint) as score
+  from v q join v c on q.r <> c.r where q.vec_id % 20 = 0
+), k as (
+  select query_id, cast(row_number() over (partition by r order by score desc, vec_id) as integer) as rank, vec_id, score from s
+)
+select * from k where rank <= 20
+"""
+
+_OP10_SQL = """
+with p as (
+  select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages
+), f as (
+  select *, min(page_id) over (partition by payload_digest) as first from p
+)
+select page_id, payload_bytes, payload_digest,
+  case when payload_bytes >= 100 and first <> page_id then 'revisit' else 'response' end as record_type,
+  case when payload_bytes >= 100 and first <> page_id then first end as refers_to
+from f
+"""
+
+ORACLES: dict[str, str] = {"op2_url_filters": _OP2_SQL, "op7_exact_topk": _OP7_SQL, "op10_warc_revisits": _OP10_SQL}
