@@ -197,7 +197,7 @@ def score(documents: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
             p = score_texts(shipped.value, t)
             yield tb.output(batch, ["doc_id", "held_out"], {"score": p, "predicted": (p >= threshold).astype(np.int32)})
 
-    ready = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (F.crc32(F.col("doc_id").cast("string")) % FOLDS == HELD_OUT).alias("held_out"))
+    ready = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS == HELD_OUT, F.lit(False)).alias("held_out"))
     return ready.mapInArrow(run, SCHEMA)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.llm import bpe, quality_net, quality_rules, simhash, topk, url_filter, warc
+from dossier.llm import bpe, language, quality_net, quality_rules, simhash, topk, url_filter, warc
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,11 @@ def op4_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _t(spark, sf_dir, "documents")
+    return language.predict(documents, language.fit(documents))
+
+
 def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(topk.quantized(_t(spark, sf_dir, "embeddings")), F.col("vec_id") % 20 == 0)
 
@@ -58,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_url_filters": op2_url_filters,
     "op4_bpe_encoding": op4_bpe_encoding,
+    "op6_language_id": op6_language_id,
     "op7_exact_topk": op7_exact_topk,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_quality_classifier": op9_quality_classifier,
