@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.llm import bpe, language, quality_net, quality_rules, simhash, topk, url_filter, warc
+from dossier.llm import bpe, language, quality_net, quality_rules, secrets, simhash, topk, url_filter, warc
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,19 @@ def op4_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(_t(spark, sf_dir, "documents"), secrets.compile_grammar(secrets.labelled_credentials()))
+
+    def shown(spans):
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+
+    def of(kind):
+        return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("spans", lambda x: x["kind"].isin(*secrets.BASE_KINDS))
+    return found.select("doc_id", *map(of, secrets.BASE_KINDS), F.sha2(shown(base).cast("binary"), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _t(spark, sf_dir, "documents")
     return language.predict(documents, language.fit(documents))
@@ -63,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_url_filters": op2_url_filters,
     "op4_bpe_encoding": op4_bpe_encoding,
+    "op5_secret_scans": op5_secret_scans,
     "op6_language_id": op6_language_id,
     "op7_exact_topk": op7_exact_topk,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
