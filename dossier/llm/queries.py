@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.llm import bpe, language, quality_net, quality_rules, secrets, simhash, topk, url_filter, warc
+from dossier.llm import bpe, language, mixing, quality_net, quality_rules, secrets, simhash, topk, url_filter, warc
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,11 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, listed).drop("maybe_listed")
 
 
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(_t(spark, sf_dir, "documents"))
+    return mixed.withColumn("weight", F.round("weight", 6)).withColumn("probability", F.round("probability", 6))
+
+
 def op4_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -75,6 +80,7 @@ def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_url_filters": op2_url_filters,
+    "op3_source_mixing": op3_source_mixing,
     "op4_bpe_encoding": op4_bpe_encoding,
     "op5_secret_scans": op5_secret_scans,
     "op6_language_id": op6_language_id,
@@ -138,4 +144,4 @@ select page_id, payload_bytes, payload_digest,
 from f
 """
 
-ORACLES: dict[str, str] = {"op2_url_filters": _OP2_SQL, "op7_exact_topk": _OP7_SQL, "op10_warc_revisits": _OP10_SQL}
+ORACLES: dict[str, str] = {"op2_url_filters": _OP2_SQL, "op3_source_mixing": mixing.oracle(), "op7_exact_topk": _OP7_SQL, "op10_warc_revisits": _OP10_SQL}

@@ -318,6 +318,7 @@ def labelled(documents: DataFrame, shard_size: int = SHARD_SIZE) -> DataFrame:
 
 
 def distinct_documents(documents: DataFrame, shard_size: int = SHARD_SIZE) -> DataFrame:
-    """The documents, all columns, whose doc_id is the smallest of its component; of repeated rows, one."""
-    kept = labelled(documents, shard_size).where("doc_id = component_id").select("doc_id").distinct()
-    return documents.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """The documents, all columns, whose doc_id is the smallest of its component; of repeated rows, one. Rows without a doc_id all stay."""
+    named = documents.where("doc_id is not null")
+    kept = labelled(named, shard_size).where("doc_id = component_id").select("doc_id").distinct()
+    return named.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(documents.where("doc_id is null"))
