@@ -115,8 +115,9 @@ class _Parser:
         return kind == "str" or (kind == "word" and value not in ("AND", "OR", "NOT")) or (kind, value) in (("mark", "("), ("mark", "^"), ("mark", "{"), ("minus", "-"))
 
     def implicit(self):
+        alone = self.peek() == ("mark", "(")  # brackets take no neighbours without an operator
         parts = [self.unit()]
-        while self.starts():
+        while not alone and self.starts() and self.peek() != ("mark", "("):
             parts.append(self.unit())
         return parts[0] if len(parts) == 1 else Op("and", tuple(parts))
 
@@ -178,7 +179,7 @@ class _Parser:
         terms: list[str] = []
         while True:
             kind, value = self.take()
-            if kind not in ("word", "str"):
+            if kind not in ("word", "str") or (kind == "word" and value in ("AND", "OR", "NOT")):
                 raise QueryError(f"syntax error near {value!r}")
             terms += query_terms(value[1:-1].replace('""', '"') if kind == "str" else value, self.stemmed)
             if self.peek() != ("mark", "+"):
