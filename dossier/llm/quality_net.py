@@ -5,8 +5,9 @@ visible characters. Random indexing gives each token a sparse ternary index vect
 from its hash; a token's vector is its index vector plus those of its neighbours, summed
 over a bounded sample of training texts and scaled to unit length. Tokens that the sample
 doesn't hold take the vector learned for their shape (letter case, digits, length).
-A document's features are the mean of its token vectors, of their squares, and of the
-products of neighbours, and the logarithm of its length. A network with one hidden layer,
+A document's features are the mean of its token vectors, of their squares, of the products
+of neighbours and of the neighbours' cosines, the share of neighbours with one index
+vector, the mean vector's squared length, and the logarithm of the token count. A network with one hidden layer,
 in numpy, gives a logit, and a temperature fitted on rows that its weights don't see makes
 it a probability.
 
@@ -132,11 +133,14 @@ def pooled(vectors: np.ndarray, known: np.ndarray, t: tb.Texts) -> np.ndarray:
     row, shape = rows_of(t, w, tb.SpanHash(t.data))
     v = vectors[np.where(known[row], row, shape)]
     n = np.diff(w.off)
-    near = np.zeros_like(v)
+    near, same = np.zeros_like(v), np.zeros(len(v))
     if len(v) > 1:
         np.multiply(v[:-1], v[1:], out=near[:-1])
-        near[w.off[1:][n > 0] - 1] = 0
-    parts = [tb.mean_by(v, w.off), tb.mean_by(v * v, w.off), tb.mean_by(near, w.off), np.log1p(n)[:, None] / 10, (n == 0)[:, None]]
+        same[:-1] = row[:-1] == row[1:]  # one index vector
+        last = w.off[1:][n > 0] - 1
+        near[last], same[last] = 0, 0
+    mean = tb.mean_by(v, w.off)
+    parts = [mean, tb.mean_by(v * v, w.off), tb.mean_by(near, w.off), tb.mean_by(near.sum(1), w.off)[:, None], tb.mean_by(same, w.off)[:, None], (mean * mean).sum(1)[:, None], np.log1p(n)[:, None] / 10, (n == 0)[:, None]]
     return np.concatenate(parts, axis=1).astype(np.float64)
 
 
@@ -151,7 +155,7 @@ def fit_texts(texts: list[str], y: np.ndarray, steps: int = 400) -> Model:
     vectors, known = train_vectors(texts)
     batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
     parts = [pooled(vectors, known, t) for _, t in tb.blocks([batch], "text")]
-    x = np.concatenate(parts) if parts else np.zeros((0, 3 * DIMS + 2))
+    x = np.concatenate(parts) if parts else np.zeros((0, 3 * DIMS + 5))
     width = x.shape[1]
     prior = float(np.clip((y.sum() + 0.5) / (len(y) + 1), 1e-3, 1 - 1e-3))
     center, scale = (x.mean(0), x.std(0) + 1e-3) if len(x) else (np.zeros(width), np.ones(width))
