@@ -100,7 +100,9 @@ def rake(cells: pd.DataFrame, targets=POWERS, rounds: int = ROUNDS) -> np.ndarra
 
 
 def calibrate(tokens: np.ndarray, weights: np.ndarray, budget: float) -> float:
-    """Factor c with sum(tokens * min(1, c * weights)) = budget * sum(tokens); inf if all must stay."""
+    """Factor c with sum(tokens * min(1, c * weights)) = budget * sum(tokens); inf, which keeps all, for a budget of 1 or more."""
+    if budget >= 1:
+        return float("inf")
     some = (tokens > 0) & (weights > 0)
     t, w = tokens[some].astype(float), weights[some]
     order = np.argsort(-w, kind="stable")
@@ -143,7 +145,7 @@ def _rake_tables(cells: DataFrame, targets, rounds: int, budget: float) -> DataF
     low, high = 0.0, 1.0
     expected = lambda c: float(now.agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.lit(c) * F.col("w")))).first()[0] or 0)
     least = now.where("tokens > 0 and w > 0").agg(F.min("w")).first()[0]
-    if least is None or budget * total >= expected(1 / least):
+    if budget >= 1 or least is None or budget * total >= expected(1 / least):
         return now.withColumn("c", F.lit(float("inf")))
     while expected(high) < budget * total:
         low, high = high, high * 2

@@ -175,7 +175,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, pivots: int = PIVOT
     """query_id, rank, vec_id, score: the k best of all other rows for each row that `is_query` marks. vectors: from `quantized`."""
     spark = vectors.sparkSession
     width, total = vectors.agg(F.max(F.size("comps")), F.count(F.lit(1))).first()
-    width = width or 0
+    if not total:
+        return spark.createDataFrame([], RESULT)
     taken = vectors.orderBy(F.xxhash64("row"), "row").limit(sample).select("comps").toArrow()
     table = choose_pivots(_matrix(taken.column(0), width), pivots)
     count = len(table)
