@@ -82,10 +82,10 @@ def briefs(documents: DataFrame, pages: DataFrame, items: DataFrame) -> DataFram
     significance = F.when(F.size(highlights) > 0, F.concat(F.lit("The selected evidence highlights "), F.array_join(highlights, ", "), F.lit("."))).otherwise("The selected evidence provides a starting point for document review.")
     questions = _present(
         [
-            (has["money"], "What funding source, vendor, or approval history explains the money mentioned?"),
+            (has["money"], "What funding source, vendor, or approval " "history explains the money mentioned?"),
             (has["deadline"] | has["date"], "What happens before or after the cited date or deadline?"),
-            (has["action"], "Who took the cited action, and what was the vote or decision context?"),
-            (has["entity"], "What role do the named people or organizations play in the document?"),
+            (has["action"], "Who took the cited action, and what " "was the vote or decision context?"),
+            (has["entity"], "What role do the named people or " "organizations play in the document?"),
         ]
     )
     whole = documents.join(sizes, "document_id", "left").join(listed, "document_id", "left").withColumn("_items", F.coalesce("_items", F.array().cast("array<struct<place:int,item_type:string,label:string>>")))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossier.functions import text as t
-from dossier.operators.hybrid import SearchError, parse_day
+from dossier.operators.hybrid import META, SearchError, parse_day
 
 DEFAULT_LIMIT, MAX_LIMIT = 50, 500
 TOPICS, ENTITIES, LEADS, TIMELINE = ("topic",), ("entity",), ("story_lead",), ("date", "deadline", "action")
@@ -25,15 +25,15 @@ def check_page(limit: int, offset: int) -> None:
 class DocumentFilters:
     """Exact, case-sensitive conditions on documents; dates compare as text."""
 
-    body: str | None = None
-    document_type: str | None = None
-    jurisdiction: str | None = None
-    source_url: str | None = None
+    query: str | None = None
     since: str | None = None
+    body: str | None = None
+    min_confidence: float | None = None
     until: str | None = None
-    query: str | None = None
+    jurisdiction: str | None = None
     item_type: str | None = None
-    min_confidence: float | None = None
+    document_type: str | None = None
+    source_url: str | None = None
 
     def value(self, name: str) -> str | None:
         return (getattr(self, name) or "").strip() or None
@@ -96,7 +96,7 @@ def inventory(documents: DataFrame, pages: DataFrame, filters: DocumentFilters =
     shown = rows.orderBy(F.desc("created_at"), "document_id").offset(offset).limit(limit)
     counts = pages.join(F.broadcast(shown.select("document_id")), "document_id", "left_semi").groupBy("document_id").agg(F.count(F.lit(1)).alias("page_count"))  # at most MAX_LIMIT ids
     out = shown.join(F.broadcast(counts), "document_id", "left").crossJoin(F.broadcast(total))  # one row
-    return out.select("document_id", "title", "meeting_date", "body", "document_type", F.coalesce("page_count", F.lit(0)).alias("page_count"), best_source().alias("source"), "created_at", "total").orderBy(F.desc("created_at"), "document_id")
+    return out.select("document_id", *"title meeting_date body document_type".split(), F.coalesce("page_count", F.lit(0)).alias("page_count"), best_source().alias("source"), "created_at", "total").orderBy(F.desc("created_at"), "document_id")
 
 
 def document_lines(page: DataFrame) -> DataFrame:
@@ -128,10 +128,10 @@ def browse(items: DataFrame, documents: DataFrame, item_types: tuple[str, ...],
     docs = _with_meta(documents)
     for c in filters.conditions():
         docs = docs.where(c)
-    docs = docs.select("document_id", "title", "meeting_date", "body", "document_type", "jurisdiction", "source_url", "source_path", "meta_source_url", "meta_stored_source_path", "meta_source_filename")
+    docs = docs.select("document_id", *META, "meta_source_url", "meta_stored_source_path", "meta_source_filename")
     rows = some.join(docs, "document_id")
-    value = {n: F.get_json_object("value_json", f"$.{n}") for n in ("date_text", "date", "deadline", "meeting_date")}
-    shown_date = F.coalesce(*(t.optional(value[n]) for n in ("date", "date_text", "deadline", "meeting_date")), F.when(F.col("item_type").isin("date", "deadline"), F.col("label")), F.col("meeting_date"))
+    value = {n: F.get_json_object("value_json", f"$.{n}") for n in "date_text date deadline meeting_date".split()}
+    shown_date = F.coalesce(*(t.optional(value[n]) for n in "date date_text deadline meeting_date".split()), F.when(F.col("item_type").isin("date", "deadline"), F.col("label")), F.col("meeting_date"))
     keys = {
         "timeline": [F.coalesce(value["date_text"], value["date"], value["deadline"], F.col("meeting_date"), F.col("created_at")).asc(), F.col("label").asc(), F.col("item_id").asc()],
         "created": [F.col("created_at").desc(), F.col("item_id").asc()],
@@ -161,16 +161,15 @@ def labels_in_order(items: DataFrame) -> DataFrame:
 def packet(results: DataFrame, query: str, labels: list[str] | None = None) -> str:
     """The Markdown source packet of at most some dozens of ranked results, as `hybrid_search` returns them."""
     rows = results.orderBy("rank").collect()
-    out = [f"# Source Packet: {query}", ""]
-    if labels:
-        out += [f"Filters: {', '.join(labels)}", ""]
+    out = ["# Source Packet: " + query, ""]
+    out += ["Filters: " + ", ".join(labels), ""] if labels else []
     out += ["## Key Evidence", ""]
     for r in rows:
         out += [f"{r['rank']}. **{r['citation']}**", f"   > {' '.join((r['text'] or '').split())}", ""]
     out += [] if rows else ["No evidence found.", ""]
     dated = sorted((r["meeting_date"], r["citation"]) for r in rows if r["meeting_date"] is not None)
     out += ["## Timeline", ""] + ([f"- {d} — {c}" for d, c in dated] or ["- No dated evidence found."]) + [""]
-    asked = ("What additional source documents should be reviewed?", "Are there related agenda items, minutes, or staff reports that corroborate this evidence?")
+    asked = ("What additional source documents should be reviewed?", "Are there related agenda items, minutes, " "or staff reports that corroborate this evidence?")
     out += ["## Open Questions", ""] + [f"- {q}" for q in asked] + ["", "## Source List", ""]
     names = {"title": "title", "body": "body", "meeting date": "meeting_date", "document type": "document_type", "jurisdiction": "jurisdiction", "source file": "source_path", "source URL": "source_url"}
     for r in rows:

@@ -37,7 +37,7 @@ def chunk_pages(pages: DataFrame, max_chars: int = MAX_CHARS, overlap: int = OVE
 def is_header(line: Column) -> Column:
     """Page numbers, whole-line dates and other lines that repeat on pages."""
     report = line.contains("City Manager's Report") | line.contains("City Manager’s Report")
-    return (line == "-") | line.endswith(" eventbrite.com") | line.startswith("www.") | report | line.rlike(r"(?iU)^page\s+\d+\s+of\s+\d+$") | line.rlike(r"(?U)^[A-Za-z]+\s+\d{1,2},\s+\d{4}$")
+    return (line == "-") | line.endswith(" eventbrite.com") | line.startswith("www.") | report | line.rlike(r"(?iU)^page(?:\s+\d+\s+of)\s+\d+$") | line.rlike(r"(?U)^[a-zA-Z]+\s+\d\d?,\s+\d{4}$")
 
 
 def is_heading(line: Column) -> Column:

@@ -24,8 +24,8 @@ QUOTE_CHARS, LABEL_CHARS, SENTENCE_CHARS, ENTITY_CHARS = 280, 80, 20, 80
 
 _MONTH = "|".join(f"{m[:3]}(?:{m[3:]})?" if len(m) > 3 else m for m in calendar.month_name[1:])
 _I = re.IGNORECASE
-MONEY = re.compile(r"\$\s?" + r"(?:\d{1,3}(?:,\d{3})+|\d+)" + r"(?:\.\d+)?" + r"(?:\s?(?:thousand|million|billion))?", _I)
-PERCENT = re.compile(r"\b\d+(?:\.\d+)?\s?(?:percent\b|%)", _I)
+MONEY = re.compile(r"\$\s?" + r"(?:\d\d?\d?(?:,\d\d\d)+|\d+)" + r"(?:\.\d+)?" + r"(?:\s?(?:thousand|million|billion))?", _I)
+PERCENT = re.compile(r"\b(?:\d+\.)?\d+\s?(?:percent\b|%)", _I)
 ISO = re.compile(r"\b20\d\d(?:-\d\d){2}\b")
 LONG = re.compile(rf"\b(?:{_MONTH})\s+\d{{1,2}},\s+20\d\d\b", _I)
 URL = re.compile(r"https?://[^,>)\s]+", _I)
@@ -73,10 +73,10 @@ def short(s: str, size: int = QUOTE_CHARS) -> str:
     return s if len(s) <= size else s[: size - 1].rstrip() + "…"
 
 
-def quote_at(text: str, start: int, end: int) -> str:
+def quote_at(text: str, first: int, last: int) -> str:
     """From after the previous full stop or newline to the next, shortened."""
-    a = max(text.rfind(c, 0, start) for c in ".\n") + 1
-    ends = [i for i in (text.find(c, end) for c in ".\n") if i >= 0]
+    a = max(text.rfind(c, 0, first) for c in ".\n") + 1
+    ends = [i for i in (text.find(c, last) for c in ".\n") if i >= 0]
     return short(text[a : min(ends) + 1 if ends else len(text)])
 
 
@@ -134,7 +134,7 @@ def facts_of(text: str) -> Iterator[tuple[str, str, dict, str, str]]:
             m = _WORDS_I[word].search(text)
             yield "topic", topic, {"keyword": word}, f"Topic candidate from keyword '{word}'.", quote_at(text, *m.span()) if m else short(text)
     for m in ENTITY.finditer(text):
-        label = _one(m[0].strip(".,;:()[]"))
+        label = _one(m[0].strip("[]().,:;"))
         if is_entity(label):
             yield "entity", label, {"name": label}, "Entity candidate from capitalized phrase.", quote_at(text, *m.span())
 

@@ -17,6 +17,7 @@ KEYWORD_WEIGHT, VECTOR_WEIGHT = 0.6, 0.4
 MAX_DISTANCE, MARGIN, STRONG = 1.0, 0.08, 0.98
 HIT_CHARS, NEIGHBOUR_CHARS, PENALTY = 220, 320, 0.5
 BULLET = "•"
+META = "title meeting_date body document_type jurisdiction source_url source_path".split()
 
 
 class SearchError(ValueError):
@@ -44,12 +45,12 @@ def parse_day(value: str | None, name: str) -> date | None:
 class Filters:
     """Conditions on a passage's document. Text compares under case folding; a missing value fails."""
 
+    since: str | None = None
     body: str | None = None
-    document_type: str | None = None
+    until: str | None = None
     jurisdiction: str | None = None
+    document_type: str | None = None
     source_url: str | None = None
-    since: str | None = None
-    until: str | None = None
 
     def days(self) -> tuple[date | None, date | None]:
         a, b = parse_day(self.since, "since"), parse_day(self.until, "until")
@@ -165,8 +166,8 @@ def hybrid_search(
     hits = held(lexical.search(passages, query, take, stemmed), take)
     hits = held(expand_neighbours(hits, passages, take), take)
     near = held(vector_search(vectors, query_vector, take, max_distance), take)
-    fields = [c for c in ("title", "meeting_date", "body", "document_type", "jurisdiction", "source_url", "source_path") if c in documents.columns]
-    missing = [F.lit(None).cast("string").alias(c) for c in ("title", "meeting_date", "body", "document_type", "jurisdiction", "source_url", "source_path") if c not in documents.columns]
+    fields = [c for c in META if c in documents.columns]
+    missing = [F.lit(None).cast("string").alias(c) for c in META if c not in documents.columns]
     facts = documents.select("document_id", *(t.optional(F.col(c)).alias(c) for c in fields), *missing)
     condition = filters.condition()
 
@@ -190,7 +191,7 @@ def hybrid_search(
     if rerank is not None:
         return rerank(best)
     rank = F.row_number().over(Window.orderBy(F.desc("score"), "citation", "passage_id"))
-    return best.select(rank.alias("rank"), "passage_id", "document_id", "page_start", "citation", "score", "keyword_score", "vector_score", "title", "meeting_date", "body", "document_type", "jurisdiction", "source_url", "source_path", "text").orderBy("rank")
+    return best.select(rank.alias("rank"), "passage_id", "document_id", "page_start", "citation", "score", "keyword_score", "vector_score", *META, "text").orderBy("rank")
 
 
 def result_lines(results: DataFrame, query: str | None = None) -> DataFrame:

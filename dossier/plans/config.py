@@ -9,6 +9,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dossier.sources import embed
+
 LEVELS = ("ok", "warn", "error")
 
 
@@ -16,8 +18,8 @@ LEVELS = ("ok", "warn", "error")
 class Config:
     data_dir: str
     embed_provider: str = "ollama"
-    embed_model: str = "nomic-embed-text"
-    embed_url: str = "http://127.0.0.1:11434"
+    embed_model: str = embed.MODEL
+    embed_url: str = embed.ENDPOINT
 
 
 def load(path: str | None = None, **options: str | None) -> Config:

@@ -6,6 +6,7 @@ results and numbered pages of an inventory.
 
 from __future__ import annotations
 
+import calendar
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -326,7 +327,7 @@ def page_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return browse.page_counts(docs, tb.corpus_pages(docs))
 
 
-_MONTHS = "(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*"
+_MONTHS = "(?:" + "|".join(calendar.month_abbr[1:]) + ")[a-z]*"
 _FACTS = rf"""
 found as (
   select document_id, page_number, 'money' as item_type, 1 as r, unnest(regexp_extract_all(text, '\$\d+')) as label from fact_pages

@@ -131,7 +131,7 @@ def ocrmypdf(content: bytes) -> bytes:
     with tempfile.TemporaryDirectory() as d:  # input and output of one subprocess; nothing outlives it
         a, b = Path(d, "in.pdf"), Path(d, "out.pdf")
         a.write_bytes(content)
-        done = subprocess.run(["ocrmypdf", "--skip-text", "--quiet", str(a), str(b)], capture_output=True, text=True)
+        done = subprocess.run(["ocrmypdf", "--quiet", "--skip-text", str(a), str(b)], capture_output=True, text=True)
         if done.returncode:
             raise SourceError(f"OCR failed: {done.stderr.strip()}")
         return b.read_bytes()

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from dossier.sources.files import MAGIC, SourceError
 
 TIMEOUT = 30
-FIELDS = ("url", "title", "meeting_date", "body", "document_type", "jurisdiction")
+FIELDS = "url title meeting_date body document_type jurisdiction".split()
 MANIFEST = ", ".join(f"{f} string" for f in FIELDS)
 
 

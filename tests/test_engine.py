@@ -12,6 +12,9 @@ from dossier.sources import embed, files, web
 from dossier.streaming import watch
 
 
+CITED = " — ".join(["Stormwater Report", "2026-05-01", "p. 3"])
+
+
 @pytest.fixture(scope="module")
 def corpus(spark):
     docs = [
@@ -50,7 +53,7 @@ def run(spark, corpus, query, filters=Filters(), **distances):
 
 def test_hybrid_scenarios(spark, corpus):
     found = run(spark, corpus, "stormwater downtown", pa=0.1)
-    assert ids(found) == ["pa"] and found.first()["citation"] == "Stormwater Report — 2026-05-01 — p. 3" and found.first()["score"] == pytest.approx(1.0)
+    assert ids(found) == ["pa"] and found.first()["citation"] == CITED and found.first()["score"] == pytest.approx(1.0)
     assert ids(run(spark, corpus, "stormwater downtown", Filters(body="planning commission", document_type="STAFF REPORT", since="2025-01-01"))) == ["pa"]
     assert ids(run(spark, corpus, "semantic zoning", Filters(body="Planning Commission"), pc=0.1, pa=0.2)) == ["pa"]
     assert ids(run(spark, corpus, "stormwater downtown", Filters(body="City Council"))) == []
@@ -72,7 +75,7 @@ def test_hybrid_options(spark, corpus):
 
 def test_packet(spark, corpus, tmp_path):
     text = browse.packet(run(spark, corpus, "stormwater downtown", pa=0.1), "stormwater", ["body=x"])
-    for part in ("# Source Packet: stormwater", "## Key Evidence", "1. **Stormwater Report — 2026-05-01 — p. 3**", "   > Stormwater improvements", "## Timeline", "- 2026-05-01 — ", "## Open Questions", "## Source List", "(page 3; title: Stormwater Report; body: Planning Commission"):
+    for part in ("# Source Packet: stormwater", "## Key Evidence", f"1. **{CITED}**", "   > Stormwater improvements", "## Timeline", "- 2026-05-01 — ", "## Open Questions", "## Source List", "(page 3; title: Stormwater Report; body: Planning Commission"):
         assert part in text
     assert "No evidence found." in browse.packet(run(spark, corpus, "qqq"), "qqq")
     path = str(tmp_path / "p.md")
@@ -81,7 +84,7 @@ def test_packet(spark, corpus, tmp_path):
         browse.write_packet(path, text)
     browse.write_packet(path, "new", overwrite=True)
     lines = hybrid.result_lines(run(spark, corpus, "stormwater downtown", pa=0.1), "downtown").collect()
-    assert lines[0]["line"].startswith("Stormwater Report — 2026-05-01 — p. 3\n")
+    assert lines[0]["line"].startswith(CITED + "\n")
 
 
 def test_inventory(spark):
@@ -140,7 +143,7 @@ def response(**change):
 def test_enrichment(spark):
     pages = spark.createDataFrame([(d, 1, f"page-{d}", "The Council approved\nthe plan today.") for d in "abcdef"], "document_id string, page_number long, page_id string, text string")
     passages = spark.createDataFrame([("a", "pp", 1, 1, 1, "Council approved the plan")], "document_id string, passage_id string, page_start long, page_end long, ordinal long, text string")
-    bodies = {"a": response(), "b": "oops", "c": response(summary_evidence=[]), "d": response(story_leads=[{"label": "L", "summary": "S", "evidence": {"page_start": 1, "quote": "never said"}}]), "e": response(summary=" "), "f": response(notable_actions=[{"label": "L", "summary": "S", "evidence": {"page_start": 3, "page_end": 2, "quote": "x"}}])}
+    bodies = {"a": response(), "b": "oops", "c": response(summary_evidence=[]), "d": response(story_leads=[{"label": "L", "summary": "S", "evidence": dict(page_start=1, quote="nobody said this")}]), "e": response(summary=" "), "f": response(notable_actions=[{"label": "L", "summary": "S", "evidence": {"page_start": 3, "page_end": 2, "quote": "x"}}])}
     made = enrich.enrich(spark.createDataFrame(list(bodies.items()), "document_id string, body string"), enrich.contexts(pages, passages))
     good = enrich.accepted(made).orderBy("claim_id").collect()
     assert [(r["document_id"], r["item_type"], r["confidence"], r["page_id"]) for r in good] == [("a", "summary", 0.8, "page-a"), ("a", "action", 0.78, "page-a"), ("a", "story_lead", 0.7, "page-a")]

@@ -125,19 +125,19 @@ def test_query_errors(bad):
         lexical.parse(bad)
 
 
-PAGE = "Council approved a $250,000 stormwater contract with ABC Construction. Work must begin by June 1, 2026 and is 95% funded. Resolution No. 2026-05 authorizes https://example.test/project."
+PAGE = "Council approved a $250,000 stormwater contract with ABC Construction. Work must begin by June 1, 2026 and is 95% funded. Resolution No. 2026-05 names https://example.test/plan."
 
 
 def test_facts_of_a_page():
     got = list(facts.facts_of(PAGE))
     found = {(k, label) for k, label, *_ in got}
-    assert {("money", "$250,000"), ("percentage", "95%"), ("date", "June 1, 2026"), ("civic_identifier", "Resolution No. 2026-05"), ("topic", "stormwater"), ("topic", "contract"), ("entity", "ABC Construction"), ("action", "approved"), ("deadline", "June 1, 2026"), ("url", "https://example.test/project")} <= found
+    assert {("money", "$250,000"), ("percentage", "95%"), ("date", "June 1, 2026"), ("civic_identifier", "Resolution No. 2026-05"), ("topic", "stormwater"), ("topic", "contract"), ("entity", "ABC Construction"), ("action", "approved"), ("deadline", "June 1, 2026"), ("url", "https://example.test/plan")} <= found
     money = next(q for k, _, _, _, q in got if k == "money")
     assert money == "Council approved a $250,000 stormwater contract with ABC Construction."
 
 
 def test_facts_that_are_not():
-    got = {(k, label) for k, label, *_ in facts.facts_of("Page 1 of 2\nCity Manager Report\nInvalid date 2026-99-99.\nPlanning Commission reviewed the zoning request.")}
+    got = {(k, label) for k, label, *_ in facts.facts_of("Page 1 of 2\nCity Manager Report\nNo such date as 2026-99-99.\nThen the Planning Commission saw a zoning request.")}
     assert not any(k == "date" for k, _ in got)
     assert ("entity", "City Manager Report") not in got
     assert ("entity", "Planning Commission") in got and ("topic", "zoning") in got
