@@ -34,7 +34,10 @@ _NAME = r"[A-Z][-'&A-Za-z]+"
 ENTITY = re.compile(rf"\b{_NAME}(?:\s+(?:{_NAME}|and|of|&)){{1,5}}\b")
 SENTENCE = re.compile(r"[^\n?!.]*(?:[?!.]|$)")
 DEADLINE = re.compile(r"\b(?:due|deadline|no later than|must (?:be (?:completed|submitted)|begin) by|by\s+(?:" + "|".join(calendar.month_abbr[1:]) + r"))\b", _I)
-ACTION = re.compile(r"\b(?:" + "|".join(sorted("accepted adopted amended approved authorized awarded denied passed postponed rejected tabled voted".split())) + r")\b", _I)
+ACTIONS = "accepted adopted amended approved authorized awarded denied passed postponed rejected tabled voted".split()
+ACTION = re.compile(r"\b(?:" + "|".join(ACTIONS) + r")\b", _I)
+#: Letters that match ASCII ones when case is ignored, but aren't lower-cased to them; texts that hold one skip the cheap tests.
+_ODD = re.compile("[\u017f\u0130\u0131]")
 
 #: topic: keywords in the order in which they are looked for
 TOPICS = {
@@ -110,24 +113,37 @@ def facts_of(text: str) -> Iterator[tuple[str, str, dict, str, str]]:
     if not text.strip():
         return
     seen = "{} appears in document text.".format
-    for mark, kind, key, pattern in ((("$",), "money", "amount_text", MONEY), (("%", "ercent", "ERCENT"), "percentage", "percentage_text", PERCENT), (None, "date", "date_text", ISO), (None, "date", "date_text", LONG), (("://",), "url", "url", URL), (None, "civic_identifier", "identifier", IDENTIFIER)):
-        if mark and pattern is not PERCENT and not any(m in text for m in mark):
-            continue
-        for m in pattern.finditer(text):
+    low = text.lower()
+    odd = _ODD.search(text) is not None
+
+    def may(*marks: str) -> bool:
+        """Whether any of the strings, one of which a rule's match must hold, is there in some case."""
+        return odd or any(m in low for m in marks)
+
+    rules = (
+        (may("$"), "money", "amount_text", MONEY),
+        (may("%", "percent"), "percentage", "percentage_text", PERCENT),
+        (may("-") and may("20"), "date", "date_text", ISO),
+        (may("20") and may(","), "date", "date_text", LONG),
+        (may("://"), "url", "url", URL),
+        (may("ordinance", "resolution"), "civic_identifier", "identifier", IDENTIFIER),
+    )
+    for there, kind, key, pattern in rules:
+        for m in pattern.finditer(text) if there else ():
             label = _one(m[0].rstrip(".,;:"))
             if label and (kind != "date" or real_date(label)):
                 yield kind, label, {key: label}, seen(label), quote_at(text, *m.span())
-    for m in SENTENCE.finditer(text):
+    due, acted = may("due", "deadline", "no later than", "must b", "by"), may(*ACTIONS)
+    for m in SENTENCE.finditer(text) if due or acted else ():
         s = _one(m[0])
         if len(s) < SENTENCE_CHARS:
             continue
-        if DEADLINE.search(s):
+        if due and DEADLINE.search(s):
             found = ISO.search(s) or LONG.search(s)
             label = _one(found[0]) if found else short(s, LABEL_CHARS) or "deadline"
             yield "deadline", label, {"phrase": label}, "Deadline-related language appears in document text.", s
-        if verb := ACTION.search(s):
+        if acted and (verb := ACTION.search(s)):
             yield "action", verb[0].lower(), {"verb": verb[0].lower()}, "Action or vote language appears in document text.", s
-    low = text.lower()
     for topic in sorted(TOPICS):
         word = next((k for k in TOPICS[topic] if k in low and _WORDS[k].search(low)), None)
         if word is not None:

@@ -21,3 +21,13 @@ def importable(spark: SparkSession) -> SparkSession:
 
 def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(scan):
+    """A scan of few files over all cores: it is shuffled only if it has fewer partitions than the session has cores.
+
+    For plain scans only, whose partitions are known without running anything. Large inputs
+    have more partitions than that and pass as they are.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

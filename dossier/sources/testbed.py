@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.session import table
+from dossier.session import spread, table
 
 PAGE_CHARS = 5000
 
@@ -35,7 +35,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with metadata made from their ids; some of it is missing."""
     i = F.col("doc_id")
     day = lambda first, m: F.date_format(F.date_add(F.lit(first).cast("date"), (i % m).cast("int")), "yyyy-MM-dd")
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         i.cast("string").alias("document_id"),
         F.when(i % 5 != 0, F.concat(F.lit("Document "), i.cast("string"))).alias("title"),
         F.when(i % 4 == 0, F.concat(F.lit("https://example.test/d/"), i.cast("string"))).alias("source_url"),
@@ -97,7 +97,7 @@ def fact_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.date_format(d, "yyyy-MM-dd"),
         lit("."),
     )
-    return table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("document_id"), (i + 1).alias("page_number"), text.alias("text"))
+    return spread(table(spark, sf_dir, "orders")).select(F.col("o_custkey").cast("string").alias("document_id"), (i + 1).alias("page_number"), text.alias("text"))
 
 
 #: Turns of conversations as bulleted passages of a chunk, with vectors for some.
