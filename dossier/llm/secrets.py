@@ -10,12 +10,15 @@ The method adds spans of further formats. Labelled credentials of one format for
 tree with counts. A node keeps a branch of its own for a character that most of its strings
 take, as a fixed prefix does, and else branches by class of character (digit, a-f, g-z, A-F,
 G-Z, each mark). States whose ends and branches are statistically alike, all the way down,
-by Hoeffding's bound, are merged, ancestors first, into a probabilistic automaton. Every
-candidate, a maximal run of 16 or more of `A-Za-z0-9+/_.=-` that has a digit, is scored by
-every automaton at once: the logarithm of its likelihood over that of a uniform choice of
-characters. A string that an automaton doesn't accept has likelihood zero and leaves the
-batch at that character. Candidates of `THRESHOLD` or more that overlap no base span become
-spans of the best format's kind.
+by Hoeffding's bound, are merged, ancestors first, into a probabilistic automaton. Candidates
+are the parts, of 16 or more characters, of the runs of `A-Za-z0-9+/_.=-` that have a digit
+and that base spans leave. An automaton whose strings begin by characters of their own starts
+at every place of a run; one that begins by a class of characters (upper-case hexadecimal)
+only where no letter or digit comes before, and ends only where none follows. The score is the
+logarithm of the likelihood over that of a uniform choice of characters, by the longest part
+that the automaton accepts, or by the likeliest if the longest has less than `THRESHOLD`.
+Parts of `THRESHOLD` or more become spans, leftmost first, then by score, not overlapping.
+Walks that meet in one state at one place are walked on once, so time is linear in the text.
 
 All work is on UTF-8 bytes of whole texts; offsets returned are code points. An assigned
 value's span is that of the whole match.
@@ -58,6 +61,8 @@ TOKEN[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=
 HEX, DIGITS = np.zeros(256, bool), np.zeros(256, bool)
 HEX[list(b"0123456789abcdef")] = True
 DIGITS[list(b"0123456789")] = True
+ALNUM = TOKEN.copy()
+ALNUM[list(b"+/_.=-")] = False
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _HEADS = np.array([int.from_bytes(x, "little") for x in (b"pass", b"secr", b"toke", b"api_", b"apik")], np.uint32)
@@ -190,6 +195,9 @@ class Grammar:
     step: np.ndarray
     gain: np.ndarray
     end: np.ndarray
+    #: By format: whether its strings begin by a class of characters; whether it accepts two bytes, b0 * 256 + b1, at its start.
+    loose: np.ndarray
+    pairs: np.ndarray
 
 
 def compile_grammar(labelled: list[tuple[str, str]]) -> Grammar:
@@ -197,7 +205,7 @@ def compile_grammar(labelled: list[tuple[str, str]]) -> Grammar:
     for kind, text in labelled:
         if text and all(c in CLASSES for c in text):
             by.setdefault(kind, []).append(text)
-    kinds, start, states = sorted(by), [], []
+    kinds, start, states, loose = sorted(by), [], [], []
     for kind in kinds:
         root = infer(by[kind])
         number, order = {id(root): len(states)}, [root]
@@ -207,6 +215,7 @@ def compile_grammar(labelled: list[tuple[str, str]]) -> Grammar:
                     number[id(c)] = len(states) + len(order)
                     order.append(c)
         start.append(len(states))
+        loose.append(any(s[0] != "=" for s in root.next))
         states += [(node, number) for node in order]
     step = np.full((len(states), 256), -1, np.int32)
     gain = np.zeros((len(states), 256))
@@ -220,7 +229,11 @@ def compile_grammar(labelled: list[tuple[str, str]]) -> Grammar:
             for ch in chars:
                 step[k, ord(ch)] = number[id(c)]
                 gain[k, ord(ch)] = np.log(node.taken[s] / node.n / len(chars)) + uniform
-    return Grammar(kinds, np.array(start, np.int32), step, gain, end)
+    pairs = np.zeros((len(kinds), 256, 256), bool)
+    for k, root in enumerate(start):
+        first = np.flatnonzero(step[root] >= 0)
+        pairs[k, first] = step[step[root, first]] >= 0
+    return Grammar(kinds, np.array(start, np.int32), step, gain, end, np.array(loose, bool), pairs.reshape(len(kinds), 65536))
 
 
 def likelihood(g: Grammar, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -274,28 +287,80 @@ def base_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return kind, np.r_[first[:, 1], h.start[long]], np.r_[first[:, 2], h.end[long]]
 
 
-def spans_of(t: tb.Texts, g: Grammar, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """text number, kind number (base kinds, then the grammar's), start and end (bytes in the block), by text, start and kind."""
-    kind, start, end = base_spans(t.data, t.off)
-    c = tb.runs(TOKEN[t.data], t.off)
+def _accepted(g: Grammar, raw: bytes, at: int, stop: int, state: int, known: dict) -> tuple[int, float, int, float]:
+    """Longest end (-1: none) and its score, likeliest end and its score, from a state at a place. known: answers in this run."""
+    path = []
+    while (at, state) not in known:
+        to = int(g.step[state, raw[at]]) if at < stop else -1
+        path.append((at, state, float(g.gain[state, raw[at]]) if to >= 0 else 0.0))
+        if to < 0:
+            break
+        at, state = at + 1, to
+    far, far_score, best, best_score = known.get((at, state), (-1, -np.inf, -1, -np.inf))
+    for at, state, gain in reversed(path):
+        here = float(g.end[state])
+        far_score, best_score = far_score + gain, best_score + gain
+        if far < 0 and here > -np.inf:
+            far, far_score = at, here
+        if here > best_score:
+            best, best_score = at, here
+        known[at, state] = far, far_score, best, best_score
+    return far, far_score, best, best_score
+
+
+def learned_spans(t: tb.Texts, g: Grammar, taken: np.ndarray, threshold: float) -> list[tuple[int, int, int]]:
+    """(kind number of the grammar, start, end) in bytes, in order, outside the bytes that are taken."""
+    if len(t.data) < MIN_CANDIDATE or not g.kinds:
+        return []
+    inside = TOKEN[t.data] & ~taken
+    c = tb.runs(inside, t.off)
     digits = np.zeros(len(t.data) + 1, np.int64)
     np.cumsum(DIGITS[t.data], out=digits[1:])
     some = np.flatnonzero((c.end - c.start >= MIN_CANDIDATE) & (digits[c.end] > digits[c.start]))
-    s, e = c.start[some], c.end[some]
-    if len(s) and g.kinds:
-        # spans of one kind are in order, so an overlap shows at the last one that starts before a candidate ends
-        free = np.ones(len(s), bool)
-        for k in range(len(BASE_KINDS)):
-            own = kind == k
-            if own.any():
-                a, b = np.sort(start[own]), np.sort(end[own])
-                at = np.searchsorted(a, e) - 1
-                free &= ~((at >= 0) & (b[np.maximum(at, 0)] > s))
-        s, e = s[free], e[free]
-        score = likelihood(g, t.data, s, e) if len(s) else np.zeros((0, len(g.kinds)))
-        best = score.argmax(1) if len(s) else np.zeros(0, np.int64)
-        hit = score[np.arange(len(s)), best] >= threshold
-        kind, start, end = np.r_[kind, best[hit] + len(BASE_KINDS)], np.r_[start, s[hit]], np.r_[end, e[hit]]
+    first, last = c.start[some], c.end[some]
+    if not len(first):
+        return []
+    pair = t.data[:-1].astype(np.uint16) << np.uint16(8) | t.data[1:]
+    at = np.flatnonzero(g.pairs.any(0)[pair] & inside[:-1])
+    run = np.searchsorted(first, at, side="right") - 1
+    fits = (run >= 0) & (at + MIN_CANDIDATE <= last[run])
+    at, run = at[fits], run[fits]
+    heads, tails = set(t.off[:-1].tolist()), set(t.off[1:].tolist())
+    begun = []
+    for k in range(len(g.kinds)):
+        mine = np.flatnonzero(g.pairs[k][pair[at]])
+        state = np.full(len(mine), g.start[k])
+        for step in range(MIN_CANDIDATE):
+            state = g.step[state, t.data[at[mine] + step]]
+            mine, state = mine[state >= 0], state[state >= 0]
+        begun += [(a, k, r) for a, r in zip(at[mine].tolist(), run[mine].tolist())]
+    raw, known, of = t.data.tobytes(), {}, -1
+    found = []
+    for a, k, r in sorted(begun):
+        if r != of:
+            known, of = {}, r
+        if g.loose[k] and a not in heads and ALNUM[raw[a - 1]]:
+            continue
+        far, score, best, best_score = _accepted(g, raw, a, int(last[r]), int(g.start[k]), known)
+        end, score = (far, score) if score >= threshold else (best, best_score)
+        if score >= threshold and end - a >= MIN_CANDIDATE and not (g.loose[k] and end not in tails and ALNUM[raw[end]]):
+            found.append((a, -score, k, end))
+    out, free = [], 0
+    for a, _, k, end in sorted(found):
+        if a >= free:
+            out.append((k, a, end))
+            free = end
+    return out
+
+
+def spans_of(t: tb.Texts, g: Grammar, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """text number, kind number (base kinds, then the grammar's), start and end (bytes in the block), by text, start and kind."""
+    kind, start, end = base_spans(t.data, t.off)
+    depth = np.zeros(len(t.data) + 1, np.int32)
+    np.add.at(depth, start, 1)
+    np.add.at(depth, end, -1)
+    more = np.array(learned_spans(t, g, np.cumsum(depth[:-1]) > 0, threshold), np.int64).reshape(-1, 3)
+    kind, start, end = np.r_[kind, more[:, 0] + len(BASE_KINDS)], np.r_[start, more[:, 1]], np.r_[end, more[:, 2]]
     order = np.lexsort((kind, start))
     kind, start, end = kind[order], start[order], end[order]
     return np.searchsorted(t.off, start, side="right") - 1, kind, start, end

@@ -156,6 +156,23 @@ def test_op5_grammar_finds_unseen_credentials_and_leaves_prose(grammar):
     assert secrets.compile_grammar([]).kinds == []
 
 
+def found_in(spark, grammar, texts):
+    """The strings, by kind, that the scan finds in each text."""
+    return [[(s["kind"], text[s["start"] : s["end"]]) for s in r["spans"]] for r, text in zip(by_id(secrets.scan(docs(spark, texts), grammar)), texts)]
+
+
+def test_op5_credentials_that_touch_other_characters(spark, grammar):
+    held = [(kind, x) for kind, x in secrets.labelled_credentials(20, seed=77) if not re.search("[0-9a-f]{16}", x) and not x.endswith(("-", "_"))]
+    for before, after in (("é use ", "."), ("GH_PAT=", ""), ("STRIPE=", "\n"), ("https://host/path/", ""), ("a/b?key=", "...")):
+        got = found_in(spark, grammar, [before + x + after for _, x in held])
+        assert np.mean([g == [want] for g, want in zip(got, held)]) > 0.95, (before, after)
+    two = "ghp_" + "a1B2" * 9, "npm_" + "Zy9X" * 9
+    assert found_in(spark, grammar, ["/".join(two)]) == [[("github", two[0]), ("npm", two[1])]]
+    hexes = "0A1B2C3D4E" * 4
+    assert found_in(spark, grammar, [f"id={hexes}.", f"x{hexes}", f"{hexes}x"]) == [[("upperhex", hexes)], [], []]
+    assert found_in(spark, grammar, ["xoxb-1" * 20000, "glpat-" * 3 + "1", "v1/sk_live_2.com-and-more-text"]) == [[], [("gitlab", "glpat-" * 3 + "1")], []]
+
+
 def test_op5_redaction(spark, grammar, edges):
     got = {r["doc_id"]: r for r in by_id(secrets.redact(edges, grammar))}
     assert got[8]["text"] == "<assign>' <github>" and got[8]["n_chars"] == len(got[8]["text"])
