@@ -11,8 +11,8 @@ tree with counts. A node keeps a branch of its own for a character that most of
 take, as a fixed prefix does, and else branches by class of character (digit, a-f, g-z, A-F,
 G-Z, each mark). States whose ends and branches are statistically alike, all the way down,
 by Hoeffding's bound, are merged, ancestors first, into a probabilistic automaton. Candidates
-are the parts, of 16 or more characters, of the runs of `A-Za-z0-9+/_.=-` that have a digit
-and that base spans leave. An automaton whose strings begin by characters of their own starts
+are the parts, of 16 or more characters, of the runs of `A-Za-z0-9+/_.=-` that base spans
+leave. An automaton whose strings begin by characters of their own starts
 at every place of a run; one that begins by a class of characters (upper-case hexadecimal)
 only where no letter or digit comes before, and ends only where none follows. The score is the
 logarithm of the likelihood over that of a uniform choice of characters, by the longest part
@@ -58,9 +58,8 @@ MIN_FIXED = 8
 
 TOKEN = np.zeros(256, bool)
 TOKEN[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")] = True
-HEX, DIGITS = np.zeros(256, bool), np.zeros(256, bool)
+HEX = np.zeros(256, bool)
 HEX[list(b"0123456789abcdef")] = True
-DIGITS[list(b"0123456789")] = True
 ALNUM = TOKEN.copy()
 ALNUM[list(b"+/_.=-")] = False
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -314,9 +313,7 @@ def learned_spans(t: tb.Texts, g: Grammar, taken: np.ndarray, threshold: float)
         return []
     inside = TOKEN[t.data] & ~taken
     c = tb.runs(inside, t.off)
-    digits = np.zeros(len(t.data) + 1, np.int64)
-    np.cumsum(DIGITS[t.data], out=digits[1:])
-    some = np.flatnonzero((c.end - c.start >= MIN_CANDIDATE) & (digits[c.end] > digits[c.start]))
+    some = np.flatnonzero(c.end - c.start >= MIN_CANDIDATE)
     first, last = c.start[some], c.end[some]
     if not len(first):
         return []

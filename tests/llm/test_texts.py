@@ -173,6 +173,16 @@ def test_op5_credentials_that_touch_other_characters(spark, grammar):
     assert found_in(spark, grammar, ["xoxb-1" * 20000, "glpat-" * 3 + "1", "v1/sk_live_2.com-and-more-text"]) == [[], [("gitlab", "glpat-" * 3 + "1")], []]
 
 
+def test_op5_scan_finds_held_out_credentials_with_and_without_digits(spark, grammar):
+    held = [(kind, x) for kind, x in secrets.labelled_credentials(60, seed=1234) if not re.search("[0-9a-f]{16}", x)]
+    assert np.mean([g == [want] for g, want in zip(found_in(spark, grammar, [f"use {x} here" for _, x in held]), held)]) > 0.95
+    bare = [(kind, x) for kind, x in secrets.labelled_credentials(500, seed=4321) if not re.search("[0-9]", x)]
+    assert {kind for kind, _ in bare} >= {"gitlab", "stripe"}
+    assert found_in(spark, grammar, [f"use {x} here" for _, x in bare]) == [[want] for want in bare]
+    prose = ["a well-known/documented.example_of=prose", "npm_config_registry=something", "the task_live_view-and-others", "ACADEMY-OF-MOTION-PICTURES-AND-ARTS", "glossary_of_terms-and-phrases"]
+    assert found_in(spark, grammar, prose) == [[]] * 5
+
+
 def test_op5_redaction(spark, grammar, edges):
     got = {r["doc_id"]: r for r in by_id(secrets.redact(edges, grammar))}
     assert got[8]["text"] == "<assign>' <github>" and got[8]["n_chars"] == len(got[8]["text"])
