@@ -133,7 +133,8 @@ def facts_of(text: str) -> Iterator[tuple[str, str, dict, str, str]]:
             label = _one(m[0].rstrip(".,;:"))
             if label and (kind != "date" or real_date(label)):
                 yield kind, label, {key: label}, seen(label), quote_at(text, *m.span())
-    due, acted = may("due", "deadline", "no later than", "must b", "by"), may(*ACTIONS)
+    # DEADLINE sees collapsed sentences: its marks are single words, as blanks may still be irregular here.
+    due, acted = may("due", "deadline", "later", "by"), may(*ACTIONS)
     for m in SENTENCE.finditer(text) if due or acted else ():
         s = _one(m[0])
         if len(s) < SENTENCE_CHARS:

@@ -136,6 +136,15 @@ def test_facts_of_a_page():
     assert money == "Council approved a $250,000 stormwater contract with ABC Construction."
 
 
+@pytest.mark.parametrize("blank", [" ", "  ", "\t", "\u00a0", " \u2003"])
+def test_deadlines_with_irregular_blanks(blank):
+    for words in ("no later than Friday noon", "must be submitted by noon", "must begin by noon", "by Jan 5"):
+        sentence = "Bids for paving arrive " + words.replace(" ", blank) + "."
+        got = [(k, label, quote) for k, label, _, _, quote in facts.facts_of(f"Heading\n{sentence}\n") if k == "deadline"]
+        whole = "Bids for paving arrive " + words + "."
+        assert got == [("deadline", whole, whole)], sentence
+
+
 def test_facts_that_are_not():
     got = {(k, label) for k, label, *_ in facts.facts_of("Page 1 of 2\nCity Manager Report\nNo such date as 2026-99-99.\nThen the Planning Commission saw a zoning request.")}
     assert not any(k == "date" for k, _ in got)
