@@ -219,8 +219,12 @@ expanded as (
 
 @query(_with(tb.TURNS_SQL, _turn_hits("rest", 40), _expanded(40)) + "select passage_id, round(keyword_score, 6) as keyword_score from expanded")
 def neighbour_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _neighbours(spark, sf_dir, "rest")
+
+
+def _neighbours(spark: SparkSession, sf_dir: str, word: str, stemmed: bool = False) -> DataFrame:
     passages, _, _ = tb.turns(spark, sf_dir)
-    hits = hybrid.held(lexical.search(passages, "rest", 40), 40)
+    hits = hybrid.held(lexical.search(passages, word, 40, stemmed), 40)
     return hybrid.expand_neighbours(hits, passages, 40).withColumn("keyword_score", F.round("keyword_score", 6))
 
 
@@ -251,9 +255,9 @@ from scored qualify rank <= {limit}"""
     )
 
 
-def _hybrid(spark: SparkSession, sf_dir: str, word: str, limit: int, distance: float, filters: hybrid.Filters = hybrid.Filters()) -> DataFrame:
+def _hybrid(spark: SparkSession, sf_dir: str, word: str, limit: int, distance: float, filters: hybrid.Filters = hybrid.Filters(), stemmed: bool = False) -> DataFrame:
     passages, documents, vectors = tb.turns(spark, sf_dir)
-    found = hybrid.hybrid_search(passages, documents, vectors, word, _vector0(spark, sf_dir), filters, limit, distance, stemmed=False)
+    found = hybrid.hybrid_search(passages, documents, vectors, word, _vector0(spark, sf_dir), filters, limit, distance, stemmed=stemmed)
     return found.select(F.col("rank").cast("long").alias("rank"), "passage_id", "document_id", "citation", *(F.round(c, 6).alias(c) for c in ("score", "keyword_score", "vector_score")))
 
 
