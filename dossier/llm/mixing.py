@@ -9,6 +9,9 @@ the factor calibrated so that the expected tokens are the stated part of all. A
 kept if a number from 0 to 1 made from the MD5 of its doc_id lies below its probability, so
 the choice is the same at each run and in each engine.
 
+The sample takes the targets' shares only while no weight times the factor exceeds 1; beyond
+that, cells kept whole fall short of them. A budget of None is the largest without that.
+
 Only counts by cell are gathered, pre-aggregated in each task. Up to `MAX_CELLS` cells are
 raked on the driver and broadcast; more are raked as tables, and joined by shuffle with
 salts, by the same arithmetic.
@@ -99,11 +102,16 @@ def rake(cells: pd.DataFrame, targets=POWERS, rounds: int = ROUNDS) -> np.ndarra
     return w
 
 
-def calibrate(tokens: np.ndarray, weights: np.ndarray, budget: float) -> float:
-    """Factor c with sum(tokens * min(1, c * weights)) = budget * sum(tokens); inf, which keeps all, for a budget of 1 or more."""
+def calibrate(tokens: np.ndarray, weights: np.ndarray, budget: float | None) -> float:
+    """Factor c with sum(tokens * min(1, c * weights)) = budget * sum(tokens); inf, which keeps all, for a budget of 1 or more.
+
+    For a budget of None, the largest c at which no probability is cut.
+    """
+    some = (tokens > 0) & (weights > 0)
+    if budget is None:
+        return float(1 / weights[some].max()) if some.any() else float("inf")
     if budget >= 1:
         return float("inf")
-    some = (tokens > 0) & (weights > 0)
     t, w = tokens[some].astype(float), weights[some]
     order = np.argsort(-w, kind="stable")
     t, w = t[order], w[order]
@@ -115,7 +123,7 @@ def calibrate(tokens: np.ndarray, weights: np.ndarray, budget: float) -> float:
     return float("inf")
 
 
-def _rake_tables(cells: DataFrame, targets, rounds: int, budget: float) -> DataFrame:
+def _rake_tables(cells: DataFrame, targets, rounds: int, budget: float | None) -> DataFrame:
     """As `rake` and `calibrate`, for cells of any number, as tables."""
     now = written(cells.withColumn("w", F.lit(1.0)), "cells")
     total = float(now.agg(F.sum("tokens")).first()[0] or 0)
@@ -141,6 +149,9 @@ def _rake_tables(cells: DataFrame, targets, rounds: int, budget: float) -> DataF
             scaled = sums.select(d, F.when(F.col("now") > 0, F.col("want") / F.col("now")).otherwise(1.0).alias("by"))
             now = now.join(scaled, d).select(*DIMENSIONS, "tokens", (F.col("w") * F.col("by")).alias("w"))
         now = written(now, "cells")
+    if budget is None:
+        most = now.where("tokens > 0 and w > 0").agg(F.max("w")).first()[0]
+        return now.withColumn("c", F.lit(float("inf") if most is None else 1 / most))
     # The factor is found by halving; each pass brings back one number.
     low, high = 0.0, 1.0
     expected = lambda c: float(now.agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.lit(c) * F.col("w")))).first()[0] or 0)
@@ -155,7 +166,7 @@ def _rake_tables(cells: DataFrame, targets, rounds: int, budget: float) -> DataF
     return now.withColumn("c", F.lit(high))
 
 
-def probabilities(tags: DataFrame, targets=POWERS, budget: float = BUDGET, rounds: int = ROUNDS, max_cells: int = MAX_CELLS) -> tuple[DataFrame, bool]:
+def probabilities(tags: DataFrame, targets=POWERS, budget: float | None = BUDGET, rounds: int = ROUNDS, max_cells: int = MAX_CELLS) -> tuple[DataFrame, bool]:
     """_mix_source, _mix_lang, _mix_topic, _mix_weight, _mix_p of each cell; whether it is small enough to broadcast."""
     spark = tags.sparkSession
     cells = written(tags.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")), "cells")
@@ -185,7 +196,7 @@ def chosen(doc_id: Column, p: Column) -> Column:
     return u < p
 
 
-def mix(documents: DataFrame, targets=POWERS, budget: float = BUDGET, rounds: int = ROUNDS, max_cells: int = MAX_CELLS) -> DataFrame:
+def mix(documents: DataFrame, targets=POWERS, budget: float | None = BUDGET, rounds: int = ROUNDS, max_cells: int = MAX_CELLS) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens, weight, probability, kept for each document."""
     tags = written(tagged(documents), "tags")
     cells, small = probabilities(tags, targets, budget, rounds, max_cells)
@@ -194,7 +205,7 @@ def mix(documents: DataFrame, targets=POWERS, budget: float = BUDGET, rounds: in
     return out.select("doc_id", *(F.col(f"_mix_{d}").alias(d) for d in DIMENSIONS), "n_tokens", F.col("_mix_weight").alias("weight"), F.col("_mix_p").alias("probability"), chosen(F.col("doc_id"), F.col("_mix_p")).alias("kept"))
 
 
-def sample(documents: DataFrame, targets=POWERS, budget: float = BUDGET, rounds: int = ROUNDS, max_cells: int = MAX_CELLS) -> DataFrame:
+def sample(documents: DataFrame, targets=POWERS, budget: float | None = BUDGET, rounds: int = ROUNDS, max_cells: int = MAX_CELLS) -> DataFrame:
     """The documents kept, all columns."""
     cells, small = probabilities(tagged(documents), targets, budget, rounds, max_cells)
     out = _with_cell(documents.select("*", *_keys()), cells, small)

@@ -96,6 +96,33 @@ def test_op3_tables_give_what_the_driver_gives(spark, targets):
     assert np.allclose([r["probability"] for r in a], [r["probability"] for r in b], atol=1e-6)
 
 
+def off_target(rows, targets=mixing.POWERS):
+    """By dimension, the total-variation distance of the expected sample's shares from the targets."""
+    df = pd.DataFrame([r.asDict() for r in rows])
+    mass = df["n_tokens"] * df["probability"]
+    out = {}
+    for d in mixing.DIMENSIONS:
+        want = mixing.target_shares(df.groupby(d)["n_tokens"].sum(), targets[d])
+        out[d] = 0.5 * (mass.groupby(df[d]).sum() / mass.sum() - want).abs().sum()
+    return out
+
+
+@pytest.mark.parametrize("max_cells", [mixing.MAX_CELLS, 0])
+def test_op3_sample_takes_its_targets_up_to_the_largest_budget(spark, max_cells):
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = mixing.mix(df, budget=None, max_cells=max_cells).collect()
+    assert max(off_target(rows).values()) < 0.005
+    assert max(r["probability"] for r in rows if r["n_tokens"]) == pytest.approx(1)
+    assert mixing.sample(df, budget=None, max_cells=max_cells).count() == sum(r["kept"] for r in rows)
+    assert mixing.mix(df.limit(0), budget=None, max_cells=max_cells).count() == 0
+
+
+@pytest.mark.parametrize("budget", [mixing.BUDGET, corpus_pipeline.MIX_BUDGET])
+def test_op3_registered_budgets_are_beyond_the_targets(spark, budget):
+    """As the README states: the rare topics are kept whole and still fall short."""
+    assert off_target(mixing.mix(spark.read.parquet(f"{SF}/documents.parquet"), budget=budget).collect())["topic"] > 0.15
+
+
 def test_op3_edges(spark, edges):
     got = by_id(mixing.mix(edges))
     assert len(got) == 10 and [r["topic"] for r in got[2:5]] == ["empty"] * 3 and got[0]["kept"] == got[1]["kept"]
