@@ -12,7 +12,7 @@ in numpy, gives a logit, and a temperature fitted on rows that its weights don't
 it a probability.
 
 Defined cases: a null or empty text has zero features and gets the network's answer to
-those. Repeated rows and ids each give a row. Columns other than doc_id and text are
+those. A very long text is pooled whole, a piece at a time. Repeated rows and ids each give a row. Columns other than doc_id and text are
 ignored, whatever their names. An empty table gives no rows; with labels of one class or
 none the score is the prior probability.
 """
@@ -36,6 +36,8 @@ TABLE_BITS = 15
 SHAPES = 64
 HIDDEN = 24
 WINDOW = 2
+#: Tokens whose vectors are held at once.
+TOKENS = 1 << 16
 FOLDS, HELD_OUT = 5, 0
 #: Labelled rows that vectors and network are fitted on, at most.
 SAMPLE_ROWS = 3000
@@ -88,9 +90,7 @@ def rows_of(t: tb.Texts, w: tb.Words, h: tb.SpanHash) -> tuple[np.ndarray, np.nd
     size = w.end - w.start
 
     def share(table: np.ndarray) -> np.ndarray:
-        c = np.zeros(len(t.data) + 1, np.int32)
-        np.cumsum(table[t.data], out=c[1:])
-        k = c[w.end] - c[w.start]
+        k = tb.count_spans(table[t.data], w.start, w.end)
         return (k > 0).astype(np.int32) + ((k == size) & (size > 1))
 
     word = KIND[t.data[w.start]] == 1
@@ -129,18 +129,30 @@ def train_vectors(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pooled(vectors: np.ndarray, known: np.ndarray, t: tb.Texts) -> np.ndarray:
+    """Features of each text; token vectors are held TOKENS at a time."""
     w = tokens(t)
     row, shape = rows_of(t, w, tb.SpanHash(t.data))
-    v = vectors[np.where(known[row], row, shape)]
-    n = np.diff(w.off)
-    near, same = np.zeros_like(v), np.zeros(len(v))
-    if len(v) > 1:
-        np.multiply(v[:-1], v[1:], out=near[:-1])
-        same[:-1] = row[:-1] == row[1:]  # one index vector
-        last = w.off[1:][n > 0] - 1
-        near[last], same[last] = 0, 0
-    mean = tb.mean_by(v, w.off)
-    parts = [mean, tb.mean_by(v * v, w.off), tb.mean_by(near, w.off), tb.mean_by(near.sum(1), w.off)[:, None], tb.mean_by(same, w.off)[:, None], (mean * mean).sum(1)[:, None], np.log1p(n)[:, None] / 10, (n == 0)[:, None]]
+    n, doc = np.diff(w.off), w.doc()
+    mean, square, near = (np.zeros((len(t), DIMS)) for _ in range(3))
+    same = np.zeros(len(t))
+    for a in range(0, len(row), TOKENS):
+        part = slice(a, a + TOKENS + 1)  # and the next chunk's first
+        v = vectors[np.where(known[row[part]], row[part], shape[part])]
+        size = min(TOKENS, len(row) - a)
+        off = np.clip(w.off, a, a + size) - a
+        mean += tb.sum_by(v[:size].astype(np.float64), off)
+        square += tb.sum_by((v[:size] * v[:size]).astype(np.float64), off)
+        both = (v[:-1] * v[1:]).astype(np.float64)
+        inside = doc[part][:-1] == doc[part][1:]
+        both[~inside] = 0
+        one = (row[part][:-1] == row[part][1:]) & inside  # one index vector
+        if len(both) < size:
+            both, one = np.r_[both, np.zeros((1, DIMS))], np.r_[one, False]
+        near += tb.sum_by(both, off)
+        same += tb.sum_by(one.astype(np.float64), off)
+    m = np.maximum(n, 1)[:, None]
+    mean, square, near = mean / m, square / m, near / m
+    parts = [mean, square, near, near.sum(1)[:, None], same[:, None] / m, (mean * mean).sum(1)[:, None], np.log1p(n)[:, None] / 10, (n == 0)[:, None]]
     return np.concatenate(parts, axis=1).astype(np.float64)
 
 

@@ -19,8 +19,11 @@ of its links, never the pairs. Components come from alternating large-star and s
 rounds on those forests, written to the shared folder between rounds.
 
 Defined cases: null and empty texts have fingerprint zero and link with each other like
-any other; extra columns are ignored. Rows with a repeated doc_id must hold the same
-document: each row counts and is returned. An empty table gives no rows.
+any other; extra columns are ignored. A very long text is hashed whole, a piece of its
+shingles at a time. Rows with a repeated doc_id each count and are returned, each by its own
+text; of rows of one doc_id `distinct_documents` keeps one, the smallest text first. Ties
+don't arise: a link is a distance, a component's name its smallest doc_id. An empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dossier.llm import textbatch as tb
-from dossier.llm.shared import written
+from dossier.llm.shared import discard, spread_join, written
 
 RADIUS = 4
 SHINGLE = 4
@@ -64,16 +67,16 @@ def fingerprints(t: tb.Texts) -> np.ndarray:
     per = np.where(n >= SHINGLE, n - SHINGLE + 1, np.minimum(n, 1))
     off = np.zeros(len(n) + 1, np.int64)
     np.cumsum(per, out=off[1:])
-    first = np.repeat(w.off[:-1] - off[:-1], per) + np.arange(off[-1])
-    last = np.minimum(first + SHINGLE, np.repeat(w.off[1:], per))
-    s, e = start[first].tolist(), (start[last] - 1).tolist()
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(raw[a:b], SEED) for a, b in zip(s, e)), np.uint64, len(s))
     votes = np.zeros((len(n), 64), np.int64)
-    for at in range(0, len(h), _HASHES_AT_ONCE):
-        to = min(at + _HASHES_AT_ONCE, len(h))
-        bits = np.unpackbits(h[at:to].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        cut = np.clip(off, at, to) - at
+    for at in range(0, int(off[-1]), _HASHES_AT_ONCE):
+        k = np.arange(at, min(at + _HASHES_AT_ONCE, int(off[-1])))
+        text = np.searchsorted(off, k, side="right") - 1
+        first = k - off[text] + w.off[text]
+        last = np.minimum(first + SHINGLE, w.off[text + 1])
+        h = np.fromiter((digest(raw[a:b], SEED) for a, b in zip(start[first].tolist(), (start[last] - 1).tolist())), np.uint64, len(k))
+        bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        cut = np.clip(off, at, at + len(k)) - at
         votes += tb.sum_by(bits.astype(np.int32), cut)
     ones = 2 * votes > per[:, None]
     return np.packbits(ones, axis=1, bitorder="little").view("<u8").reshape(-1).astype(np.uint64)
@@ -234,8 +237,8 @@ def links(classes: DataFrame, shard_size: int = SHARD_SIZE) -> DataFrame:
     Only shards of two or more classes go to Python, those over `shard_size` in pieces.
     """
     keyed = classes.select(F.explode(F.expr(shard_keys())).alias("key"), "fp", "cnt")
-    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    shards = keyed.join(sizes.hint("shuffle_hash"), "key")
+    sizes = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "shards")
+    shards = spread_join(keyed, sizes, "key", "size", len(PAIRS) * classes.count())
     pieces = F.ceil(F.col("size") / shard_size).cast("int")
     cut = shards.select("key", "fp", "cnt", pieces.alias("pieces"), F.pmod(F.xxhash64("fp"), pieces).cast("int").alias("own"))
     cut = cut.select("key", "fp", "cnt", "own", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("other"))
@@ -275,27 +278,29 @@ def _checksum(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("v", "u"))).first())
 
 
-def components(edges: DataFrame, name: str = "components", rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """node and root (smallest node of its component) for each node of the edges (a, b).
 
-    Alternating large-star and small-star; every round is written to the shared folder. A
-    round's neighbours are never gathered in a task: minima are aggregates, joined back.
+    Alternating large-star and small-star until nothing changes; every round is written to the
+    shared folder. A round's neighbours are never gathered in a task: minima are aggregates,
+    joined back, and the edges of a hub are spread over tasks.
     """
     edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
     now = _checksum(edges)
-    for _ in range(rounds):
+    while True:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        after = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges, before = written(after, name), now
-        now = _checksum(edges)
+        low = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n")), "stars")
+        large = written(spread_join(both, low, "u", "n", 2 * now[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), name)
+        near = written(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "stars")
+        small = spread_join(large, near, "u", "n", 2 * now[0])
+        pairs = F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v"))))
+        after = small.select(pairs.alias("_e")).select("_e.u", "_e.v").where("u <> v").distinct()
+        last, edges = edges, written(after, name)
+        for used in (last, low, large, near):
+            discard(used)
+        before, now = now, _checksum(edges)
         if now == before:
             break
-    else:
-        raise ArithmeticError("components didn't settle")
     tree = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return tree.unionByName(tree.select(F.col("root").alias("node"), "root").distinct())
 
@@ -311,14 +316,19 @@ def labelled(documents: DataFrame, shard_size: int = SHARD_SIZE) -> DataFrame:
     found = written(links(classes.select("fp", "cnt"), shard_size), "links")
     near = found.where("kind = 'near'").groupBy(F.col("a").alias("fp")).agg(F.sum("n").alias("n"))
     comp = components(found.where("kind = 'edge'").select("a", "b"))
-    with_comp = classes.join(comp, classes.fp == comp.node, "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
-    lowest = with_comp.groupBy("root").agg(F.min("low").alias("component_id"))
-    info = with_comp.join(lowest, "root").join(near, "fp", "left").select("fp", (F.col("cnt") - 1 + F.coalesce("n", F.lit(0))).alias("n_near"), "component_id")
-    return prints.join(info, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "n_near", "component_id")
+    with_comp = written(classes.join(comp, classes.fp == comp.node, "left").withColumn("root", F.coalesce("root", "fp")).drop("node"), "classes")
+    lowest = with_comp.groupBy("root").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("size"))
+    placed = spread_join(with_comp, lowest, "root", "size", with_comp.count())
+    info = written(placed.join(near, "fp", "left").select("fp", "cnt", (F.col("cnt") - 1 + F.coalesce("n", F.lit(0))).alias("n_near"), "component_id"), "classes")
+    whole = spread_join(prints, info, "fp", "cnt", prints.count())
+    return whole.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "n_near", "component_id")
 
 
 def distinct_documents(documents: DataFrame, shard_size: int = SHARD_SIZE) -> DataFrame:
-    """The documents, all columns, whose doc_id is the smallest of its component; of repeated rows, one. Rows without a doc_id all stay."""
+    """The documents, all columns, whose doc_id is the smallest of its component; of rows of one doc_id, one. Rows without a doc_id all stay."""
     named = documents.where("doc_id is not null")
     kept = labelled(named, shard_size).where("doc_id = component_id").select("doc_id").distinct()
-    return named.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(documents.where("doc_id is null"))
+    names = documents.columns
+    rows = F.struct(*names)
+    one = named.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(rows, F.struct("text", F.to_json(rows))).alias("_row"))
+    return one.select("_row.*").unionByName(documents.where("doc_id is null"))

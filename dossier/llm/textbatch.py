@@ -3,19 +3,24 @@
 All functions see the UTF-8 bytes of a block of whole texts as one numpy array with
 offsets, so that a pass costs a few numpy operations per byte and no Python step per
 word. Texts are never cut: a text longer than a block's size makes a block of its own.
-Null texts count as empty.
+What takes more than a byte or two a byte of text is done CHUNK bytes at a time with carried
+sums, so a very long text costs memory by its words, not by a table of its bytes. Null texts
+count as empty.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 BLOCK_BYTES = 1 << 20
+#: Elements for which wide intermediate arrays are held at once.
+CHUNK = 1 << 21
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
 
@@ -23,8 +28,6 @@ _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
-_powers = np.ones(1, np.uint64)
-_inverses = np.ones(1, np.uint64)
 
 
 @dataclass
@@ -132,9 +135,26 @@ def char_starts(t: Texts) -> np.ndarray:
 
 def count_in(mask: np.ndarray, off: np.ndarray) -> np.ndarray:
     """How many True lie in each text."""
-    c = np.zeros(len(mask) + 1, np.int64)
-    np.cumsum(mask, out=c[1:])
-    return c[off[1:]] - c[off[:-1]]
+    out = np.zeros(len(off) - 1, np.int64)
+    full = np.flatnonzero(np.diff(off))
+    if len(full):
+        out[full] = np.add.reduceat(mask[: off[-1]], off[full], dtype=np.int64)
+    return out
+
+
+def count_spans(mask: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """How many True lie in each of ascending spans that aren't empty and don't overlap."""
+    if not len(start):
+        return np.zeros(0, np.int64)
+    cuts = np.empty(2 * len(start), np.int64)
+    cuts[0::2], cuts[1::2] = start, end
+    return np.add.reduceat(np.r_[mask, False], cuts, dtype=np.int64)[0::2]
+
+
+def count_before(mask: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """How many True lie before each place."""
+    places, which = np.unique(at, return_inverse=True)
+    return np.cumsum(count_in(mask, np.r_[0, places]))[which]
 
 
 def sum_by(values: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -160,46 +180,86 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers, _inverses
-    if len(_powers) < n + 1:
-        size = max(n + 1, 2 * len(_powers))
-        for name, base in (("_powers", _BASE), ("_inverses", _INVERSE)):
-            t = np.full(size, base, np.uint64)
-            t[0] = 1
-            globals()[name] = np.cumprod(t)
-    return _powers, _inverses
+@lru_cache(maxsize=1)
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0 to CHUNK of the base and of its inverse."""
+    out = []
+    for base in (_BASE, _INVERSE):
+        t = np.full(CHUNK + 1, base, np.uint64)
+        t[0] = 1
+        out.append(np.cumprod(t))
+    return out[0], out[1]
 
 
 class SpanHash:
-    """64-bit hashes of any byte spans of a block from one prefix sum."""
+    """64-bit hashes of any spans of an array, bytes by default, from prefix sums that are made CHUNK elements at a time.
+
+    Equal spans have equal hashes; different ones may have equal hashes too (this is a
+    polynomial modulo 2**64), so whoever must tell them apart compares the spans.
+    """
+
+    def __init__(self, data: np.ndarray, table: np.ndarray = _BYTE):
+        self.data, self.table = data, table
+        self.whole = self._prefix(0) if len(data) <= CHUNK else None
 
-    def __init__(self, data: np.ndarray):
-        powers, self.inverse = _tables(len(data))
-        self.prefix = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE[data] * powers[: len(data)], out=self.prefix[1:])
+    def _prefix(self, at: int) -> np.ndarray:
+        part = self.data[at : at + CHUNK]
+        out = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(self.table[part] * _tables()[0][: len(part)], out=out[1:])
+        return out
 
     def raw(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return (self.prefix[end] - self.prefix[start]) * self.inverse[start]
+        inverse = _tables()[1]
+        if self.whole is not None:
+            return (self.whole[end] - self.whole[start]) * inverse[start]
+        low, high = np.zeros(len(start), np.uint64), np.zeros(len(end), np.uint64)
+        unit = np.zeros(len(start), np.uint64)
+        sides = []
+        for places, out in ((start, low), (end, high)):
+            order = np.argsort(places, kind="stable")
+            sides.append((places, out, order, places[order]))
+        before = 0
+        for at in range(0, len(self.data) + 1, CHUNK):
+            prefix = self._prefix(at)
+            lift = pow(_BASE, at, 1 << 64)
+            for k, (places, out, order, ascending) in enumerate(sides):
+                a, b = np.searchsorted(ascending, (at, at + CHUNK))
+                mine = order[a:b]
+                inner = places[mine] - at
+                out[mine] = prefix[inner] * _U(lift) + _U(before)
+                if not k:
+                    unit[mine] = inverse[inner] * _U(pow(_INVERSE, at, 1 << 64))
+            before = (before + int(prefix[-1]) * lift) % (1 << 64)
+        return (high - low) * unit
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix(self.raw(start, end))
 
 
 def same_spans(data: np.ndarray, s1: np.ndarray, e1: np.ndarray, s2: np.ndarray, e2: np.ndarray) -> np.ndarray:
-    """Whether the bytes of two lists of spans are equal, pair by pair."""
-    n = e1 - s1
-    same = n == e2 - s2
-    at = np.flatnonzero(same & (n > 0))
-    if len(at):
-        size = n[at]
-        ends = np.cumsum(size)
-        inner = np.arange(ends[-1]) - np.repeat(ends - size, size)
-        unequal = data[np.repeat(s1[at], size) + inner] != data[np.repeat(s2[at], size) + inner]
-        same[at] = np.add.reduceat(unequal, ends - size, dtype=np.int64) == 0
+    """Whether the elements of two lists of spans are equal, pair by pair."""
+    size = e1 - s1
+    same = size == e2 - s2
+    for k in np.flatnonzero(same & (size > CHUNK // 16)).tolist():
+        same[k] = np.array_equal(data[s1[k] : e1[k]], data[s2[k] : e2[k]])
+    short = np.flatnonzero(same & (size > 0) & (size <= CHUNK // 16))
+    cut = np.r_[0, np.flatnonzero(np.diff(np.cumsum(size[short]) // (CHUNK // 4))) + 1, len(short)] if len(short) else [0]
+    for a, b in zip(cut[:-1], cut[1:]):
+        at = short[a:b]
+        n = size[at]
+        ends = np.cumsum(n)
+        inner = np.arange(ends[-1]) - np.repeat(ends - n, n)
+        unequal = data[np.repeat(s1[at], n) + inner] != data[np.repeat(s2[at], n) + inner]
+        same[at] = np.add.reduceat(unequal, ends - n, dtype=np.int64) == 0
     return same
 
 
+def exact_ids(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A number for each span, equal if and only if the spans are: for what hashes failed to tell apart."""
+    raw, seen = data.tobytes(), {}
+    return np.fromiter((seen.setdefault(raw[a:b], len(seen)) for a, b in zip(start.tolist(), end.tolist())), np.int64, len(start))
+
+
 def groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """order, group number of each ordered row, index in order of each group's first row."""
     order = np.argsort(key)
