@@ -2,7 +2,8 @@
 
 Encoding follows the file's pipeline: special tokens are cut out of the raw text; the rest
 is NFC-normalised, lower-cased code point by code point, and split into contractions,
-letter runs, single digits and runs of other visible characters. Each piece is encoded by
+letter runs, single digits and runs of other visible characters, all by the library's own
+tables of Unicode (`unicode_tables`), which differ from Python's. Each piece is encoded by
 backtracking: an Aho-Corasick automaton over all reachable tokens finds, in one pass, every
 token at every place; the encoder takes the longest token that is compatible with the one
 before, then shorter ones, and steps back when none is left, marking the place as dead so
@@ -13,33 +14,41 @@ That gives the exact result of applying merges by rank, in time linear in the pi
 Decoding concatenates token strings through a table of offsets, a space between tokens
 (the file names no decoder), as whole-array copies.
 
-Defined cases: null and empty texts have no ids and decode to an empty text. Repeated rows
-each give a row. Columns other than doc_id and text are ignored. An empty table gives no
+Defined cases: null and empty texts have no ids and decode to an empty text. A very long
+text is encoded whole, in parts that are cut before blanks, where no token and no
+normalization reaches across. Repeated rows each give a row. Columns other than doc_id and text are ignored. An empty table gives no
 rows.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dossier.llm import textbatch as tb
+from dossier.llm import unicode_tables
 
 END = "</w>"
 #: Pieces whose encodings a worker keeps; beyond it starts anew, which changes no result.
 CACHE_PIECES = 1_000_000
 
-PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
+#: Characters of a text, and ids of a sequence, that are handled at once.
+PART_CHARS, PART_IDS = 1 << 20, 1 << 18
+
+_BARRIER = re.compile("([" + unicode_tables.barriers() + "])")
+_LOWER = unicode_tables.lower()
+_RECENT = re.compile("[" + "".join(map(chr, _LOWER)) + "]")
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -174,18 +183,15 @@ SPACE, LETTER, NUMBER, OTHER = range(4)
 @lru_cache(maxsize=1)
 def _code_tables() -> tuple[np.ndarray, np.ndarray]:
     """Class of each code point, and a random odd number for each."""
-    every = np.arange(0x110000, dtype="<u4")
-    every[0xD800:0xE000] = 32  # no text holds surrogates
-    shown = every.tobytes().decode("utf-32-le")
-    kind = np.full(len(every), OTHER, np.uint8)
-    for pattern, value in ((r"\p{L}+", LETTER), (r"\p{N}+", NUMBER), (r"\p{White_Space}+", SPACE)):
-        for m in regex.finditer(pattern, shown):
-            kind[m.start() : m.end()] = value
-    return kind, np.random.default_rng(31).integers(1, 1 << 63, len(every), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    kind = np.empty(0x110000, np.uint8)
+    runs = unicode_tables.classes()
+    for (at, name), (to, _) in zip(runs, [*runs[1:], (len(kind), "")]):
+        kind[at:to] = "SLNO".index(name)
+    return kind, np.random.default_rng(31).integers(1, 1 << 63, len(kind), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def piece_spans(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and end of each piece of PIECE in lower-cased code points."""
+    """Start and end in lower-cased code points of each contraction, letter run, digit or run of other visible characters."""
     kind = _code_tables()[0][codes]
     new = np.ones(len(codes), bool)
     new[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == NUMBER)
@@ -206,13 +212,22 @@ def piece_spans(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start[real], end[real]
 
 
+def parts(text: str) -> Iterator[str]:
+    """The text, cut before blanks so that no part but one without blanks is much longer than PART_CHARS."""
+    at = 0
+    while at < len(text):
+        to = len(text) if len(text) - at <= PART_CHARS else text.find(" ", at + PART_CHARS - 1)
+        yield text[at : to if to > 0 else len(text)]
+        at = to if to > 0 else len(text)
+
+
 class Encoder(dict):
     """Maps a piece to its ids as little-endian unsigned 32-bit integers."""
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
         self.vocabulary = vocabulary
-        self.marks = regex.compile("(" + "|".join(map(regex.escape, vocabulary.special)) + ")") if vocabulary.special else None
+        self.marks = re.compile("(" + "|".join(map(re.escape, vocabulary.special)) + ")") if vocabulary.special else None
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) > CACHE_PIECES:
@@ -224,12 +239,19 @@ class Encoder(dict):
 
     @staticmethod
     def normal(text: str) -> str:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return text.lower()
+        if text.isascii():
+            return text.lower()
+        if _BARRIER.search(text):
+            text = "".join(x if k % 2 else unicodedata.normalize("NFC", x) for k, x in enumerate(_BARRIER.split(text)))
+        else:
+            text = unicodedata.normalize("NFC", text)
+        text = text.replace("Σ", "σ").lower()
+        return text.translate(_LOWER) if _RECENT.search(text) else text
 
     def _plain(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, PIECE.findall(self.normal(text))))
+        low = self.normal(text)
+        start, end = piece_spans(np.frombuffer(low.encode("utf-32-le"), "<u4"))
+        return b"".join(self[low[a:b]] for a, b in zip(start.tolist(), end.tolist()))
 
     def encode(self, text: str) -> bytes:
         if self.marks and "<|" in text and self.marks.search(text):
@@ -239,6 +261,11 @@ class Encoder(dict):
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text. A block's pieces are found at once, and each different one is encoded once."""
+        if len(texts) == 1 and len(texts[0]) > PART_CHARS:
+            return [np.concatenate([self._block([x])[0] for x in parts(texts[0])])]
+        return self._block(texts)
+
+    def _block(self, texts: list[str]) -> list[np.ndarray]:
         marked = {k for k, x in enumerate(texts) if "<|" in x and self.marks and self.marks.search(x)}
         ready = ["" if k in marked else self.normal(x) for k, x in enumerate(texts)]
         whole = "\n".join(ready)
@@ -246,10 +273,7 @@ class Encoder(dict):
         off = np.zeros(len(texts) + 1, np.int64)
         np.cumsum([len(x) + 1 for x in ready], out=off[1:])
         start, end = piece_spans(codes)
-        powers, inverses = tb._tables(len(codes))
-        prefix = np.zeros(len(codes) + 1, np.uint64)
-        np.cumsum(_code_tables()[1][codes] * powers[: len(codes)], out=prefix[1:])
-        key = (prefix[end] - prefix[start]) * inverses[start]
+        key = tb.SpanHash(codes, _code_tables()[1])(start, end)
         _, first, which = np.unique(key, return_index=True, return_inverse=True)
         if not tb.same_spans(codes, start, end, start[first[which]], end[first[which]]).all():  # two pieces of one hash
             return [np.frombuffer(self.encode(x), "<u4") for x in texts]
@@ -274,12 +298,13 @@ class Decoder:
         np.cumsum([len(s) for s in shown], out=self.off[1:])
 
     def decode(self, ids: np.ndarray) -> bytes:
-        if not len(ids):
-            return b""
+        return b"".join(self._spaced(ids[a : a + PART_IDS]) for a in range(0, len(ids), PART_IDS))[:-1]
+
+    def _spaced(self, ids: np.ndarray) -> bytes:
         start = self.off[ids]
         size = self.off[ids + 1] - start
         ends = np.cumsum(size)
-        return self.data[np.arange(ends[-1]) + np.repeat(start - (ends - size), size)].tobytes()[:-1]
+        return self.data[np.arange(ends[-1]) + np.repeat(start - (ends - size), size)].tobytes()
 
 
 @lru_cache(maxsize=2)
