@@ -1,29 +1,33 @@
-"""Mixing: token weights raked to source, language and topic marginals, then sampling.
-
-Documents fall into cells by source, language and topic. Iterative proportional fitting
-scales the cells' weights, one dimension after the other, until the weighted tokens of
-every source, language and topic take their target shares. A target is a table of shares
-or an exponent: shares in proportion to the tokens' own to that power, which tames a source
-that holds most of them. Probabilities are the weights times one factor, at most 1, with
-the factor calibrated so that the expected tokens are the stated part of all. A document is
-kept if a number from 0 to 1 made from the MD5 of its doc_id lies below its probability, so
-the choice is the same at each run and in each engine.
-
-The sample takes the targets' shares only while no weight times the factor exceeds 1; beyond
-that, cells kept whole fall short of them. A budget of None is the largest without that.
+"""Mixing: document probabilities raked to source, language and topic marginals, then sampling.
+
+Documents fall into cells by source, language and topic. A target is a table of shares or an
+exponent: shares in proportion to the tokens' own to that power, which tames a source that
+holds most of them. A budget is the part of all tokens that the sample is to hold. Where a
+target times the budget is more than a value's tokens, the value is wanted whole and the
+others take the rest in proportion to their shares. Iterative proportional fitting then scales
+the cells' probabilities, one dimension after the other, until the expected tokens of every
+source, language and topic are those wanted; at each step a probability stays at most 1, and
+the cells that aren't cut make up for those that are. What no probability can reach is told
+by `unreached`: how far the expected share of a document's source, language or topic,
+whichever lacks most, stays below its target. With a budget of None nothing is cut: it is the
+largest budget at which all targets are reached.
+
+A document is kept if a number from 0 to 1 made from the MD5 of its doc_id lies below its
+probability, so the choice is the same at each run and in each engine. `weight` is the
+probability over the budget.
 
 Only counts by cell are gathered, pre-aggregated in each task. Up to `MAX_CELLS` cells are
 raked on the driver and broadcast; more are raked as tables, and joined by shuffle with
-salts, by the same arithmetic.
+salts. Both take the same steps; only the order in which sums are added up differs.
 
 Tokens are words `[^\\x20\\x09-\\x0D]+`. Topics are found by marks in the text.
 
 Defined cases: a null source or language counts as the empty string; a null or wordless
-text has topic `empty` and no tokens, and a cell without tokens has the weight that its
-marginals leave it (1 if none has tokens). A null doc_id counts as the empty string in the
-choice. Repeated rows share one fate. Values that a target doesn't name keep their shares of
-what it leaves (nothing left: weight 0). Other columns may have any names. An empty table
-gives no rows.
+text has topic `empty` and no tokens, and a cell without tokens has the probability that its
+marginals leave it. A null doc_id counts as the empty string in the choice. Repeated rows
+share one fate. Values that a target doesn't name keep their shares of what it leaves
+(nothing left: probability 0). A very long text counts whole; ties can't arise. Other columns
+may have any names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -39,7 +43,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 DIMENSIONS = ("source", "lang", "topic")
 #: Exponents that make the targets from the corpus's own shares.
 POWERS = {"source": 0.5, "lang": 0.75, "topic": 0.5}
-ROUNDS = 12
+ROUNDS = 24
 BUDGET = 0.5
 MAX_CELLS = 200_000
 _SALTS = 16
@@ -86,101 +90,104 @@ def target_shares(tokens: pd.Series, target) -> pd.Series:
     return named / named.sum() if named.sum() > 0 else named
 
 
-def rake(cells: pd.DataFrame, targets=POWERS, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights of cells (source, lang, topic, tokens)."""
+def wanted(tokens: np.ndarray, shares: np.ndarray, want: float) -> np.ndarray:
+    """Tokens of each value: one factor times its share, at most what it has, together `want` if there are as many."""
+    factor, cut = want, -1
+    while True:
+        over = factor * shares > tokens
+        if over.sum() == cut:
+            return np.where(shares > 0, np.minimum(tokens, factor * shares), 0.0)
+        cut, rest = over.sum(), shares[~over].sum()
+        factor = max(want - tokens[over].sum(), 0.0) / rest if rest > 0 else factor
+
+
+def rake(cells: pd.DataFrame, targets=POWERS, rounds: int = ROUNDS, budget: float | None = BUDGET) -> tuple[np.ndarray, np.ndarray]:
+    """Probability and unreached share of cells (source, lang, topic, tokens)."""
     t = cells["tokens"].to_numpy(float)
-    w, total = np.ones(len(t)), t.sum()
+    part, total = 1.0 if budget is None else min(budget, 1.0), t.sum()
     dims = []
     for d in DIMENSIONS:
         code, values = pd.factorize(cells[d])
-        share = target_shares(pd.Series(np.bincount(code, t, len(values)), index=values), targets[d])
-        dims.append((code, share.reindex(values).to_numpy() * total))
+        own = np.bincount(code, t, len(values))
+        share = target_shares(pd.Series(own, index=values), targets[d]).to_numpy()
+        dims.append((code, share, share * total if budget is None else wanted(own, share, part * total)))
+    p = np.full(len(t), part)
     for _ in range(rounds):
-        for code, want in dims:
-            now = np.bincount(code, t * w, len(want))
-            w = w * np.where(now > 0, want / np.where(now > 0, now, 1), 1)[code]
-    return w
-
-
-def calibrate(tokens: np.ndarray, weights: np.ndarray, budget: float | None) -> float:
-    """Factor c with sum(tokens * min(1, c * weights)) = budget * sum(tokens); inf, which keeps all, for a budget of 1 or more.
-
-    For a budget of None, the largest c at which no probability is cut.
-    """
-    some = (tokens > 0) & (weights > 0)
+        for code, _, want in dims:
+            now = np.bincount(code, t * p, len(want))
+            p = p * np.where(now > 0, want / np.where(now > 0, now, 1), 1)[code]
+            p = p if budget is None else np.minimum(p, 1.0)
     if budget is None:
-        return float(1 / weights[some].max()) if some.any() else float("inf")
-    if budget >= 1:
-        return float("inf")
-    t, w = tokens[some].astype(float), weights[some]
-    order = np.argsort(-w, kind="stable")
-    t, w = t[order], w[order]
-    left = budget * tokens.sum() - np.r_[0, np.cumsum(t)]
-    mass = (t * w).sum() - np.r_[0, np.cumsum(t * w)]
-    for k in range(len(t)):
-        if mass[k] > 0 and left[k] / mass[k] * w[k] <= 1:
-            return float(left[k] / mass[k])
-    return float("inf")
+        some = (t > 0) & (p > 0)
+        p = np.minimum(p / p[some].max(), 1.0) if some.any() else np.minimum(p, 1.0)
+    mass = (t * p).sum()
+    lacks = np.zeros(len(t))
+    for code, share, _ in dims:
+        lacks = np.maximum(lacks, (share - np.bincount(code, t * p, len(share)) / (mass or 1.0))[code])
+    return p, lacks
 
 
 def _rake_tables(cells: DataFrame, targets, rounds: int, budget: float | None) -> DataFrame:
-    """As `rake` and `calibrate`, for cells of any number, as tables."""
-    now = written(cells.withColumn("w", F.lit(1.0)), "cells")
+    """As `rake`, for cells of any number, as tables: the columns p and lacks."""
+    part = 1.0 if budget is None else min(budget, 1.0)
+    now = written(cells.withColumn("p", F.lit(part)), "cells")
     total = float(now.agg(F.sum("tokens")).first()[0] or 0)
     want = {}
     for d in DIMENSIONS:
-        own = now.groupBy(d).agg(F.sum("tokens").cast("double").alias("x"))
+        own = now.groupBy(d).agg(F.sum("tokens").cast("double").alias("own"))
         target = targets[d]
         if isinstance(target, dict):
             named = F.lit(None).cast("double")
             for v, share in target.items():
                 named = F.when(F.col(d) == v, float(share)).otherwise(named)
-            own = own.withColumn("named", named)
+            own = written(own.withColumn("named", named), "targets")
             left = max(0.0, 1 - sum(target.values()))
-            rest = float(own.where("named is null").agg(F.sum("x")).first()[0] or 0)
-            own = own.withColumn("x", F.coalesce("named", F.col("x") * (left / rest if rest > 0 else 0.0)))
+            rest = float(own.where("named is null").agg(F.sum("own")).first()[0] or 0)
+            own = own.withColumn("x", F.coalesce("named", F.col("own") * (left / rest if rest > 0 else 0.0)))
         else:
-            own = own.withColumn("x", F.pow("x", F.lit(float(target))))
+            own = own.withColumn("x", F.pow("own", F.lit(float(target))))
         whole = float(own.agg(F.sum("x")).first()[0] or 0)
-        want[d] = written(own.select(d, (F.col("x") / (whole or 1.0) * total).alias("want")), "targets")
+        own = written(own.select(d, "own", (F.col("x") / (whole or 1.0)).alias("share")), "targets")
+        factor, cut = part * total, -1
+        while budget is not None:
+            over = F.lit(factor) * F.col("share") > F.col("own")
+            n, held, rest = own.agg(F.count_if(over), F.sum(F.when(over, F.col("own")).otherwise(0.0)), F.sum(F.when(over, 0.0).otherwise(F.col("share")))).first()
+            if n == cut:
+                break
+            cut, factor = n, max(part * total - held, 0.0) / rest if rest else factor
+        most = F.lit(factor) * F.col("share") if budget is None else F.least("own", F.lit(factor) * F.col("share"))
+        want[d] = written(own.select(d, "share", F.when(F.col("share") > 0, most).otherwise(0.0).alias("want")), "targets")
+    scaled = F.col("p") * F.col("by")
     for _ in range(rounds):
         for d in DIMENSIONS:
-            sums = now.groupBy(d).agg(F.sum(F.col("tokens") * F.col("w")).alias("now")).join(want[d], d)
-            scaled = sums.select(d, F.when(F.col("now") > 0, F.col("want") / F.col("now")).otherwise(1.0).alias("by"))
-            now = now.join(scaled, d).select(*DIMENSIONS, "tokens", (F.col("w") * F.col("by")).alias("w"))
+            sums = now.groupBy(d).agg(F.sum(F.col("tokens") * F.col("p")).alias("now")).join(want[d], d)
+            by = sums.select(d, F.when(F.col("now") > 0, F.col("want") / F.col("now")).otherwise(1.0).alias("by"))
+            now = now.join(by, d).select(*DIMENSIONS, "tokens", (scaled if budget is None else F.least(F.lit(1.0), scaled)).alias("p"))
         now = written(now, "cells")
     if budget is None:
-        most = now.where("tokens > 0 and w > 0").agg(F.max("w")).first()[0]
-        return now.withColumn("c", F.lit(float("inf") if most is None else 1 / most))
-    # The factor is found by halving; each pass brings back one number.
-    low, high = 0.0, 1.0
-    expected = lambda c: float(now.agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.lit(c) * F.col("w")))).first()[0] or 0)
-    least = now.where("tokens > 0 and w > 0").agg(F.min("w")).first()[0]
-    if budget >= 1 or least is None or budget * total >= expected(1 / least):
-        return now.withColumn("c", F.lit(float("inf")))
-    while expected(high) < budget * total:
-        low, high = high, high * 2
-    for _ in range(60):
-        middle = (low + high) / 2
-        low, high = (middle, high) if expected(middle) < budget * total else (low, middle)
-    return now.withColumn("c", F.lit(high))
+        most = now.where("tokens > 0 and p > 0").agg(F.max("p")).first()[0]
+        now = written(now.withColumn("p", F.least(F.lit(1.0), F.col("p") / F.lit(most or 1.0))), "cells")
+    mass = float(now.agg(F.sum(F.col("tokens") * F.col("p"))).first()[0] or 1)
+    lacks = F.lit(0.0)
+    for d in DIMENSIONS:
+        short = now.groupBy(d).agg(F.sum(F.col("tokens") * F.col("p")).alias("now")).join(want[d], d).select(d, (F.col("share") - F.col("now") / mass).alias(f"_{d}"))
+        now = now.join(short, d)
+        lacks = F.greatest(lacks, F.col(f"_{d}"))
+    return now.select(*DIMENSIONS, "p", lacks.alias("lacks"))
 
 
 def probabilities(tags: DataFrame, targets=POWERS, budget: float | None = BUDGET, rounds: int = ROUNDS, max_cells: int = MAX_CELLS) -> tuple[DataFrame, bool]:
-    """_mix_source, _mix_lang, _mix_topic, _mix_weight, _mix_p of each cell; whether it is small enough to broadcast."""
+    """_mix_source, _mix_lang, _mix_topic, _mix_p, _mix_lacks of each cell; whether it is small enough to broadcast."""
     spark = tags.sparkSession
     cells = written(tags.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")), "cells")
-    schema = ", ".join(f"_mix_{d} string" for d in DIMENSIONS) + ", _mix_weight double, _mix_p double"
+    schema = ", ".join(f"_mix_{d} string" for d in DIMENSIONS) + ", _mix_p double, _mix_lacks double"
     if cells.limit(max_cells + 1).count() <= max_cells:
         got = cells.orderBy(*DIMENSIONS).toPandas()
-        w = rake(got, targets, rounds)
-        c = calibrate(got["tokens"].to_numpy(float), w, budget)
-        p = np.where(w > 0, np.minimum(1.0, w * c if np.isfinite(c) else 1.0), 0.0)
-        rows = list(zip(got["source"], got["lang"], got["topic"], w.tolist(), p.tolist()))
+        p, lacks = rake(got, targets, rounds, budget)
+        rows = list(zip(got["source"], got["lang"], got["topic"], p.tolist(), lacks.tolist()))
         return spark.createDataFrame(rows, schema), True
     far = _rake_tables(cells, targets, rounds, budget)
-    p = F.when(F.col("w") > 0, F.least(F.lit(1.0), F.when(F.col("c") == float("inf"), 1.0).otherwise(F.col("w") * F.col("c")))).otherwise(0.0)
-    return written(far.select(*(F.col(d).alias(f"_mix_{d}") for d in DIMENSIONS), F.col("w").alias("_mix_weight"), p.alias("_mix_p")), "cells"), False
+    return written(far.toDF(*(x.split()[0] for x in schema.split(", "))), "cells"), False
 
 
 def _with_cell(rows: DataFrame, cells: DataFrame, small: bool) -> DataFrame:
@@ -197,12 +204,14 @@ def chosen(doc_id: Column, p: Column) -> Column:
 
 
 def mix(documents: DataFrame, targets=POWERS, budget: float | None = BUDGET, rounds: int = ROUNDS, max_cells: int = MAX_CELLS) -> DataFrame:
-    """doc_id, source, lang, topic, n_tokens, weight, probability, kept for each document."""
+    """doc_id, source, lang, topic, n_tokens, weight, probability, unreached, kept for each document."""
     tags = written(tagged(documents), "tags")
     cells, small = probabilities(tags, targets, budget, rounds, max_cells)
     keyed = tags.select("doc_id", "n_tokens", *(F.col(d).alias(f"_mix_{d}") for d in DIMENSIONS))
-    out = _with_cell(keyed, cells, small)
-    return out.select("doc_id", *(F.col(f"_mix_{d}").alias(d) for d in DIMENSIONS), "n_tokens", F.col("_mix_weight").alias("weight"), F.col("_mix_p").alias("probability"), chosen(F.col("doc_id"), F.col("_mix_p")).alias("kept"))
+    p = F.col("_mix_p")
+    return _with_cell(keyed, cells, small).select(
+        "doc_id", *(F.col(f"_mix_{d}").alias(d) for d in DIMENSIONS), "n_tokens", (p / F.lit(1.0 if budget is None else float(budget))).alias("weight"), p.alias("probability"), F.col("_mix_lacks").alias("unreached"), chosen(F.col("doc_id"), p).alias("kept")
+    )
 
 
 def sample(documents: DataFrame, targets=POWERS, budget: float | None = BUDGET, rounds: int = ROUNDS, max_cells: int = MAX_CELLS) -> DataFrame:
@@ -222,19 +231,23 @@ def oracle(targets=POWERS, budget: float = BUDGET, rounds: int = ROUNDS) -> str:
     short = {"source": "s", "lang": "l", "topic": "t"}
     steps = [
         f"d as materialized (select doc_id, coalesce(source, '') as s, coalesce(lang, '') as l, {topic()} as t, coalesce(len(regexp_extract_all(text, '{WORD}')), 0) as n from documents)",
-        "c0 as materialized (select s, l, t, sum(n)::double as k, 1.0::double as w from d group by all)",
+        f"c0 as materialized (select s, l, t, sum(n)::double as k, {budget}::double as w from d group by all)",
     ]
     for d, c in short.items():
-        steps.append(f"want_{c} as materialized (select {c}, x / sum(x) over () * (select sum(k) from c0) as want from (select {c}, pow(sum(k), {targets[d]}) as x from c0 group by {c}))")
+        # A value with more wanted than it has is taken whole; the values ascend by how much they have for a unit of their share.
+        steps.append(f"t_{c} as materialized (select {c}, own, x / sum(x) over () as share from (select {c}, sum(k) as own, pow(sum(k), {targets[d]}) as x from c0 group by {c}))")
+        steps.append(f"o_{c} as materialized (select own, share, {budget} * (select sum(k) from c0) - (sum(own) over z - own) as lft, sum(share) over () - (sum(share) over z - share) as rest, row_number() over (order by own / share, {c}) as r from t_{c} where share > 0 window z as (order by own / share, {c} rows unbounded preceding))")
+        steps.append(f"want_{c} as materialized (select {c}, share, case when share > 0 then least(own, coalesce((select lft / rest from o_{c} where lft / rest * share <= own order by r limit 1) * share, own)) else 0 end as want from t_{c})")
     n = 0
     for _ in range(rounds):
         for c in short.values():
-            steps.append(f"c{n + 1} as materialized (select q.s, q.l, q.t, q.k, q.w * case when q.cur > 0 then g.want / q.cur else 1 end as w from (select *, sum(k * w) over (partition by {c}) as cur from c{n}) q join want_{c} g on q.{c} = g.{c})")
+            steps.append(f"c{n + 1} as materialized (select q.s, q.l, q.t, q.k, least(1.0, q.w * case when q.cur > 0 then g.want / q.cur else 1 end) as w from (select *, sum(k * w) over (partition by {c}) as cur from c{n}) q join want_{c} g on q.{c} = g.{c})")
             n += 1
-    steps.append(f"o as (select w, k, {budget} * (select sum(k) from c0) - (sum(k) over z - k) as lft, sum(k * w) over () - (sum(k * w) over z - k * w) as mass, row_number() over (order by w desc, s, l, t) as r from c{n} where k > 0 and w > 0 window z as (order by w desc, s, l, t rows unbounded preceding))")
-    steps.append("f as (select lft / mass as c from o where mass > 0 and lft / mass * w <= 1 order by r limit 1)")
-    steps.append(f"p as (select s, l, t, w, case when w > 0 then least(1.0, coalesce(w * (select c from f), 1.0)) else 0 end as p from c{n})")
+    lacks = ", ".join(f"g_{c}.share - sum(k * w) over (partition by q.{c}) / nullif(sum(k * w) over (), 0)" for c in short.values())
+    joins = " ".join(f"join want_{c} g_{c} on q.{c} = g_{c}.{c}" for c in short.values())
+    steps.append(f"p as (select q.s, q.l, q.t, w as p, greatest(0.0, {lacks}) as lacks from c{n} q {joins})")
     return (
-        "with " + ",\n".join(steps) + "\nselect doc_id, d.s as source, d.l as lang, d.t as topic, n as n_tokens, round(w, 6) as weight, round(p, 6) as probability, "
+        "with " + ",\n".join(steps) + "\nselect doc_id, d.s as source, d.l as lang, d.t as topic, n as n_tokens, "
+        f"round(p / {budget}, 6) as weight, round(p, 6) as probability, round(lacks, 6) as unreached, "
         "cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), '')), 1, 8) as bigint) / 4294967296.0 < p as kept from d join p on d.s = p.s and d.l = p.l and d.t = p.t"
     )

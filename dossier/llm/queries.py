@@ -32,7 +32,7 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_t(spark, sf_dir, "documents"))
-    return mixed.withColumn("weight", F.round("weight", 6)).withColumn("probability", F.round("probability", 6))
+    return mixed.withColumns({c: F.round(c, 6) for c in ("weight", "probability", "unreached")})
 
 
 def op4_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
