@@ -19,15 +19,14 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(documents, quality_rules.fit(documents, _t(spark, sf_dir, "labels")))
 
 
-#: Second-level names of the hosts whose pages make up the list of blocked URLs in op2.
+#: Names within the hosts whose pages, with all copies of them on other hosts, make up the list of blocked URLs in op2.
 LISTED_NAMES = ("spam-farm", "casino-win", "free-bets", "ads-track", "cheap-pills", "adult-x")
 
 
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _t(spark, sf_dir, "pages")
-    url = F.col("url")
-    listed = pages.where(F.arrays_overlap(F.split(url_filter.host(url), r"\."), F.array(*map(F.lit, LISTED_NAMES)))).select(url_filter.canonical(url).alias("url"))
-    return url_filter.judge(pages, listed).drop("maybe_listed")
+    bad = F.arrays_overlap(F.split(url_filter.host(F.col("url")), r"\."), F.array(*map(F.lit, LISTED_NAMES)))
+    return url_filter.judge(pages, url_filter.with_mirrors(pages, bad)).drop("maybe_listed")
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,15 +91,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _OP2_SQL = f"""
 with u as (
-  select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages
+  select page_id, case when octet_length(encode(html)) >= 100 then sha256(html) end as digest, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages
 ), v as (
-  select page_id, rest,
+  select page_id, digest, rest,
     translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
     regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path,
     list_sort(list_filter(string_split(regexp_extract(rest, '^[^?#]*\\?([^#]*)', 1), '&'), lambda x: x <> '' and not regexp_matches(x, '^(utm_[a-z]+|ref|fbclid|gclid)(=|$)'))) as kept
   from u
 ), c as (
-  select page_id, host, path,
+  select page_id, digest, host, path,
     case when host <> '' then regexp_replace(regexp_replace(host, ':[0-9]+$', ''), '^(www|m)\\.', '')
       || regexp_replace(regexp_replace(path, '/index\\.html?$', '/'), '/+$', '')
       || case when len(kept) > 0 then '?' || array_to_string(kept, '&') else '' end end as canonical,
@@ -109,8 +108,10 @@ with u as (
          when (host = 'org' or host like '%.org') and path like '/fr/%' then 'org/fr/'
          when (host = 'net' or host like '%.net') and path like '/%' then 'net/' end as rule
   from v
+), b as (
+  select canonical, digest, coalesce(list_has_any(string_split(host, '.'), {list(LISTED_NAMES)!r}), false) as bad from c where canonical is not null
 ), l as (
-  select distinct canonical from c where canonical is not null and list_has_any(string_split(host, '.'), {list(LISTED_NAMES)!r})
+  select distinct canonical from b where bad or digest in (select digest from b where bad and digest is not null)
 )
 select page_id, host, path, rule,
   case when rule in ('net/', 'example.com/de/') then 'block' when rule is not null then 'allow' when listed then 'block' else 'allow' end as verdict,

@@ -24,7 +24,7 @@ All work is on UTF-8 bytes of whole texts; offsets returned are code points. An
 value's span is that of the whole match.
 
 Defined cases: null and empty texts have no spans; the digest of no spans is that of an
-empty string. Repeated rows each give a row. Columns other than doc_id and text are ignored
+empty string. A very long text is scanned whole. Spans of equal start and score go by kind. Repeated rows each give a row. Columns other than doc_id and text are ignored
 by `scan`; `redact` keeps all columns. An empty table gives no rows; without labelled
 credentials only base spans are found.
 """
@@ -262,9 +262,12 @@ def base_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     found: list[tuple[int, int, int]] = []
     raw = data.tobytes()
     if len(data) >= 4:
-        low = _FOLD[data].astype(np.uint32)
-        four = low[:-3] | low[1:-2] << np.uint32(8) | low[2:-1] << np.uint32(16) | low[3:] << np.uint32(24)
-        at = np.flatnonzero(np.isin(four, _HEADS))
+        at = []
+        for a in range(0, len(data), tb.BLOCK_BYTES):
+            low = _FOLD[data[a : a + tb.BLOCK_BYTES + 3]].astype(np.uint32)
+            four = low[:-3] | low[1:-2] << np.uint32(8) | low[2:-1] << np.uint32(16) | low[3:] << np.uint32(24)
+            at.append(np.flatnonzero(np.isin(four, _HEADS)) + a)
+        at = np.concatenate(at)
         ends = off[1:][np.searchsorted(off[1:], at, side="right")].tolist() if len(at) else []
         last = -1
         for a, stop in zip(at.tolist(), ends):
@@ -353,10 +356,10 @@ def learned_spans(t: tb.Texts, g: Grammar, taken: np.ndarray, threshold: float)
 def spans_of(t: tb.Texts, g: Grammar, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """text number, kind number (base kinds, then the grammar's), start and end (bytes in the block), by text, start and kind."""
     kind, start, end = base_spans(t.data, t.off)
-    depth = np.zeros(len(t.data) + 1, np.int32)
-    np.add.at(depth, start, 1)
-    np.add.at(depth, end, -1)
-    more = np.array(learned_spans(t, g, np.cumsum(depth[:-1]) > 0, threshold), np.int64).reshape(-1, 3)
+    taken = np.zeros(len(t.data), bool)
+    for a, b in zip(start.tolist(), end.tolist()):
+        taken[a:b] = True
+    more = np.array(learned_spans(t, g, taken, threshold), np.int64).reshape(-1, 3)
     kind, start, end = np.r_[kind, more[:, 0] + len(BASE_KINDS)], np.r_[start, more[:, 1]], np.r_[end, more[:, 2]]
     order = np.lexsort((kind, start))
     kind, start, end = kind[order], start[order], end[order]
@@ -373,10 +376,8 @@ def scan(documents: DataFrame, grammar: Grammar, threshold: float = THRESHOLD) -
         names = [*BASE_KINDS, *g.kinds]
         for batch, t in tb.blocks(batches, "text"):
             doc, kind, start, end = spans_of(t, g, threshold)
-            chars = np.zeros(len(t.data) + 1, np.int64)
-            np.cumsum(tb.char_starts(t), out=chars[1:])
-            at = chars[t.off[:-1]][doc] if len(doc) else start
-            flat = pa.StructArray.from_arrays([pa.array([names[k] for k in kind], pa.string()), pa.array(chars[start] - at, pa.int64()), pa.array(chars[end] - at, pa.int64())], fields=list(kind_type))
+            text, first, last = (tb.count_before(tb.char_starts(t), x) for x in (t.off[:-1][doc], start, end)) if len(doc) else (start,) * 3
+            flat = pa.StructArray.from_arrays([pa.array([names[k] for k in kind], pa.string()), pa.array(first - text, pa.int64()), pa.array(last - text, pa.int64())], fields=list(kind_type))
             offsets = np.searchsorted(doc, np.arange(len(t) + 1)).astype(np.int32)
             yield tb.output(batch, ["doc_id"], {"spans": pa.ListArray.from_arrays(pa.array(offsets), flat)})
 

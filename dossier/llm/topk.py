@@ -7,11 +7,13 @@ above. Pivots come from a bounded sample by farthest-first choice; any choice gi
 result.
 
 Candidates are ordered by nearest pivot and distance to it and written as blocks in the
-shared folder, each with the least and greatest distance to every pivot. A task takes a
-batch of queries and visits blocks in the order of their bounds, best first, reading only
-those it needs; in a block it visits tiles in the order of their bounds, and in a tile only
+shared folder, GROUP_BLOCKS neighbouring blocks a group, with the least and greatest distance
+to every pivot for blocks and groups. Only the groups' ranges are broadcast, a few hundred
+bytes for millions of rows; those of blocks are read with their group. A task takes a batch of
+queries and visits groups and their blocks in the order of their bounds, best first, reading
+only those it needs; in a block it visits tiles in the order of their bounds, and in a tile only
 candidates whose own bound reaches a query's k-th best score so far are evaluated. It stops
-when no block's bound reaches any query's k-th best. So queries and candidates meet without
+when no group's bound reaches any query's k-th best. So queries and candidates meet without
 a cross join or a shuffle of pairs, and a task holds one batch and one block.
 
 How much the bounds eliminate depends on the data: vectors at nearly equal distances, as
@@ -21,12 +23,15 @@ blocked scan.
 Defined cases: vectors that are null or hold a null or non-finite component take no part,
 nor rows with a null vec_id. Shorter vectors count as padded with zeros. Repeated rows are
 candidates of each other; repeated query ids each give their rows. Ties go to the smaller
-vec_id. Components so large that sums could pass 2**53 raise OverflowError. Other columns are ignored,
-whatever their names. An empty table gives no rows.
+vec_id. Scores are exact whole numbers however large the components; one that a long can't
+hold is given as the nearest long. Other columns are ignored, whatever their names. An empty
+table gives no rows.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -42,8 +47,12 @@ PIVOTS = 32
 #: Rows that pivots are chosen from, at most.
 PIVOT_SAMPLE = 4096
 BLOCK_ROWS = 16384
+GROUP_BLOCKS = 256
 TILE_ROWS = 1024
 QUERY_ROWS = 512
+#: Groups whose blocks' ranges a worker keeps.
+KEPT_GROUPS = 64
+_LOW, _HIGH = -(1 << 63), (1 << 63) - 1
 
 RESULT = "query_id long, rank int, vec_id long, score long"
 
@@ -95,45 +104,51 @@ def _bound(nq: np.ndarray, nx: np.ndarray, gap: np.ndarray) -> np.ndarray:
 
 
 class _Best:
-    """The k best (score, vec_id) of each query of a batch."""
+    """The k best (score, vec_id) of each query of a batch; `kth` is the last one's score, as a float."""
 
     def __init__(self, n: int, k: int):
         self.k = k
-        self.score = np.full((n, k), -np.inf)
+        self.score = np.full((n, k), _LOW)
         self.id = np.full((n, k), np.iinfo(np.int64).max)
+        self.there = np.zeros((n, k), bool)
         self.kth = np.full(n, -np.inf)
 
-    def take(self, rows: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
-        """scores: rows x ids, -inf where there is no candidate."""
+    def take(self, rows: np.ndarray, ids: np.ndarray, scores: np.ndarray, some: np.ndarray) -> None:
+        """scores: rows x ids, where `some` is true."""
         k = self.k
+        hit = some & (scores >= self.kth[rows][:, None])
         if scores.shape[1] > 2 * k:
-            cut = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
-            hit = scores >= np.maximum(cut, self.kth[rows])[:, None]
-        else:
-            hit = scores >= self.kth[rows][:, None]
-        hit &= scores > -np.inf
+            guess = np.where(some, scores, _LOW)
+            hit &= scores >= np.partition(guess, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k][:, None]
         at, col = np.nonzero(hit)
         if not len(at):
             return
-        some = np.flatnonzero(np.bincount(at, minlength=len(rows)))
-        r = np.r_[at, np.repeat(some, k)]
-        s = np.r_[scores[at, col], self.score[rows[some]].ravel()]
-        i = np.r_[ids[col], self.id[rows[some]].ravel()]
-        order = np.lexsort((i, -s, r))
-        r, s, i = r[order], s[order], i[order]
+        some_rows = np.flatnonzero(np.bincount(at, minlength=len(rows)))
+        r = np.r_[at, np.repeat(some_rows, k)]
+        s = np.r_[scores[at, col], self.score[rows[some_rows]].ravel()]
+        i = np.r_[ids[col], self.id[rows[some_rows]].ravel()]
+        there = np.r_[np.ones(len(at), bool), self.there[rows[some_rows]].ravel()]
+        order = np.lexsort((i, ~s, ~there, r))  # ~s descends as s ascends, and can't overflow
+        r, s, i, there = r[order], s[order], i[order], there[order]
         start = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
         place = np.arange(len(r)) - np.repeat(start, np.diff(np.r_[start, len(r)]))
         keep = place < k
-        self.score[rows[r[keep]], place[keep]] = s[keep]
-        self.id[rows[r[keep]], place[keep]] = i[keep]
-        self.kth[rows[some]] = self.score[rows[some], k - 1]
+        for mine, new in ((self.score, s), (self.id, i), (self.there, there)):
+            mine[rows[r[keep]], place[keep]] = new[keep]
+        full = self.there[rows[some_rows], k - 1]
+        self.kth[rows[some_rows[full]]] = self.score[rows[some_rows[full]], k - 1]
 
 
 def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact inner products; floats hold whole numbers up to 2**53."""
-    if a.size and b.size and float(np.abs(a).max()) * float(np.abs(b).max()) * a.shape[1] >= 2.0**53:
-        raise OverflowError("components are too large for exact scores")
-    return a @ b.T
+    """Exact inner products as longs. Floats hold whole numbers up to 2**53; what may pass that is added up as Python integers."""
+    out = a @ b.T
+    big = np.abs(a).max(axis=1, initial=0)[:, None] * np.abs(b).max(axis=1, initial=0)[None] * a.shape[1] >= 2.0**53
+    if not big.any():
+        return out.astype(np.int64)
+    exact = np.where(big, 0, out).astype(np.int64)
+    for i, j in zip(*np.nonzero(big)):
+        exact[i, j] = min(max(sum(int(x) * int(y) for x, y in zip(a[i], b[j])), _LOW), _HIGH)
+    return exact
 
 
 def search_block(best: _Best, q: np.ndarray, qrow: np.ndarray, dq: np.ndarray, x: np.ndarray, row: np.ndarray, ids: np.ndarray, dx: np.ndarray, tile_rows: int = TILE_ROWS) -> None:
@@ -167,11 +182,10 @@ def search_block(best: _Best, q: np.ndarray, qrow: np.ndarray, dq: np.ndarray, x
         if not len(cols):
             continue
         scores = _product(q[rows], x[part][cols])
-        scores[~need[:, cols] | (qrow[rows][:, None] == row[part][cols][None])] = -np.inf
-        best.take(rows, ids[part][cols], scores)
+        best.take(rows, ids[part][cols], scores, need[:, cols] & (qrow[rows][:, None] != row[part][cols][None]))
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = K, pivots: int = PIVOTS, sample: int = PIVOT_SAMPLE, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS, tile_rows: int = TILE_ROWS) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = K, pivots: int = PIVOTS, sample: int = PIVOT_SAMPLE, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS, tile_rows: int = TILE_ROWS, group_blocks: int = GROUP_BLOCKS) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of all other rows for each row that `is_query` marks. vectors: from `quantized`."""
     spark = vectors.sparkSession
     width, total = vectors.agg(F.max(F.size("comps")), F.count(F.lit(1))).first()
@@ -194,49 +208,70 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, pivots: int = PIVOT
     n_blocks = max(1, -(-total // block_rows))
     ordered = pivoted.repartitionByRange(n_blocks, "cell", "near", "row").sortWithinPartitions("cell", "near", "row")
     folder = scratch(spark, "blocks")
-    ordered.withColumn("block", F.spark_partition_id()).write.partitionBy("block").parquet(folder)
+    ordered.withColumn("block", F.spark_partition_id()).write.mode("overwrite").partitionBy("block").parquet(folder)
     at = lambda f, name: [f(F.get("dist", F.lit(i))).alias(f"{name}{i}") for i in range(count)]
     norm = F.aggregate("comps", F.lit(0.0), lambda s, x: s + x * x)
-    # One row of 2 * pivots + 2 numbers a block of `block_rows` rows.
-    ranges = spark.read.parquet(folder).groupBy("block").agg(F.max(norm).alias("norm"), *at(F.min, "low"), *at(F.max, "high")).orderBy("block").toPandas()
-    numbers = ranges["block"].to_numpy()
-    low, high = (ranges[[f"{n}{i}" for i in range(count)]].to_numpy(float) for n in ("low", "high"))
-    bounds = spark.sparkContext.broadcast((numbers, ranges["norm"].to_numpy(float), low, high))
-
-    def load(files: fs.FileSystem, root: str, block: int):
-        infos = files.get_file_info(fs.FileSelector(f"{root}/block={block}"))
-        names = sorted(i.path for i in infos if i.path.endswith(".parquet"))
-        t = pa.concat_tables([pq.ParquetFile(files.open_input_file(f)).read(columns=["row", "vec_id", "comps", "dist"]) for f in names])
-        return _matrix(t["comps"], width), t["row"].to_numpy(), t["vec_id"].to_numpy(), _matrix(t["dist"], count)
-
-    def answer(q, qrow, qid, dq, files, root):
-        blocks, norms, low, high = bounds.value
-        nq = (q * q).sum(1)
-        best = _Best(len(q), k)
-        gap = np.zeros((len(q), len(blocks)))
+    names = [f"{n}{i}" for n in ("low", "high") for i in range(count)]
+    ranges = spark.read.parquet(folder).groupBy("block").agg(F.max(norm).alias("norm"), *at(F.min, "low"), *at(F.max, "high"))
+    bounds = scratch(spark, "bounds")
+    ranges.withColumn("group", F.floor(F.col("block") / group_blocks).cast("int")).repartition("group").write.partitionBy("group").mode("overwrite").parquet(bounds)
+    # One row of 2 * pivots + 2 numbers for block_rows * group_blocks rows.
+    groups = spark.read.parquet(bounds).groupBy("group").agg(F.max("norm").alias("norm"), *(F.min(c).alias(c) for c in names[:count]), *(F.max(c).alias(c) for c in names[count:])).orderBy("group").toPandas()
+    whole = spark.sparkContext.broadcast((groups["group"].to_numpy(), groups["norm"].to_numpy(float), groups[names[:count]].to_numpy(float), groups[names[count:]].to_numpy(float)))
+
+    def files_of(files: fs.FileSystem, place: str, columns: list[str]) -> pa.Table:
+        found = sorted(i.path for i in files.get_file_info(fs.FileSelector(place)) if i.path.endswith(".parquet"))
+        return pa.concat_tables([pq.ParquetFile(files.open_input_file(f)).read(columns=columns) for f in found])
+
+    def reach(dq: np.ndarray, nq: np.ndarray, norms: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Greatest possible score of each query in each range."""
+        gap = np.zeros((len(dq), len(norms)))
         for p in range(dq.shape[1]):
             np.maximum(gap, np.maximum(low[:, p][None] - dq[:, p][:, None], dq[:, p][:, None] - high[:, p][None]), out=gap)
-        top = _bound(nq[:, None], norms[None], gap)
+        return _bound(nq[:, None], norms[None], gap)
+
+    def visit(top: np.ndarray, best: _Best):
+        """Numbers of ranges, best first, with the queries that they may serve; until no later one can serve any."""
         for b in np.argsort(-top.max(0), kind="stable"):
             go = np.flatnonzero(top[:, b] >= best.kth)
-            if not len(go):
-                if (top.max(0)[b] < best.kth).all():
-                    break  # later blocks have no higher bound
-                continue
-            part = _Best(len(go), k)
-            part.score, part.id, part.kth = best.score[go], best.id[go], best.kth[go]
-            search_block(part, q[go], qrow[go], dq[go], *load(files, root, int(blocks[b])), tile_rows)
-            best.score[go], best.id[go], best.kth[go] = part.score, part.id, part.kth
-        row, place = np.nonzero(best.score > -np.inf)
-        return pa.RecordBatch.from_arrays([pa.array(qid[row]), pa.array(place + 1, pa.int32()), pa.array(best.id[row, place]), pa.array(best.score[row, place].astype(np.int64))], names=["query_id", "rank", "vec_id", "score"])
+            if len(go):
+                yield b, go
+            elif (top.max(0)[b] < best.kth).all():
+                return
+
+    def answer(q, qrow, qid, dq, files, root, group_of):
+        numbers, norms, low, high = whole.value
+        nq = (q * q).sum(1)
+        best = _Best(len(q), k)
+        for g, _ in visit(reach(dq, nq, norms, low, high), best):
+            blocks, *ranged = group_of(int(numbers[g]))
+            for b, go in visit(reach(dq, nq, *ranged), best):
+                t = files_of(files, f"{root}/block={blocks[b]}", ["row", "vec_id", "comps", "dist"])
+                part = _Best(len(go), k)
+                fields = ("score", "id", "there", "kth")
+                for f in fields:
+                    setattr(part, f, getattr(best, f)[go])
+                search_block(part, q[go], qrow[go], dq[go], _matrix(t["comps"], width), t["row"].to_numpy(), t["vec_id"].to_numpy(), _matrix(t["dist"], count), tile_rows)
+                for f in fields:
+                    getattr(best, f)[go] = getattr(part, f)
+        row, place = np.nonzero(best.there)
+        return pa.RecordBatch.from_arrays([pa.array(qid[row]), pa.array(place + 1, pa.int32()), pa.array(best.id[row, place]), pa.array(best.score[row, place])], names=["query_id", "rank", "vec_id", "score"])
 
     def run(batches):
         files, root = fs.FileSystem.from_uri(folder)
+        _, ranged = fs.FileSystem.from_uri(bounds)
+
+        @lru_cache(maxsize=KEPT_GROUPS)
+        def group_of(g: int):
+            t = files_of(files, f"{ranged}/group={g}", ["block", "norm", *names])
+            part = lambda c: np.stack([t[n].to_numpy() for n in c], axis=1)
+            return t["block"].to_numpy(), t["norm"].to_numpy(), part(names[:count]), part(names[count:])
+
         for b in batches:
             for i in range(0, b.num_rows, query_rows):
                 t = b.slice(i, query_rows)
                 if t.num_rows:
-                    yield answer(_matrix(t.column(2), width), t.column(0).to_numpy(), t.column(1).to_numpy(), _matrix(t.column(3), count), files, root)
+                    yield answer(_matrix(t.column(2), width), t.column(0).to_numpy(), t.column(1).to_numpy(), _matrix(t.column(3), count), files, root, group_of)
 
     queries = pivoted.where(is_query)
     tasks = max(1, -(-queries.count() // query_rows))

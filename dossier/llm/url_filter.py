@@ -5,12 +5,15 @@ its path from there to `?`, `#` or the end. The longest rule that fits decides.
 are blocked if their canonical form is listed: a blocked Bloom filter (one 512-bit block a
 key, eight bits in it) of the listed URLs, at most `max_bits` large whatever the list's
 length, passes possible hits to an exact hash join, which removes false positives. A list
-too long for the filter's size only passes more rows to the join.
+too long for the filter's size only passes more rows to the join. Urls are parsed and probed
+once; hits are counted by url before they are joined, so that a much repeated one is spread.
 
 Defined cases: a null url, or one without `://`, has an empty host and path, fits no rule,
 isn't listed, and is allowed. Repeated pages each give a row; a url listed twice blocks
 once. Null entries of the list don't count. With an empty list nothing is blocked but by
-rule. Only page_id and url are read, so other columns may have any names.
+rule. Of rules of one length the first by text wins, if both fit. A very long url is parsed
+whole. Only page_id and url are read, so other columns may have any names. An empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dossier.llm.shared import spread_join, written
+
 #: (host suffix and path prefix, verdict)
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 TRACKING = ("utm_[a-z]+", "ref", "fbclid", "gclid")
@@ -121,8 +126,8 @@ def maybe(blocks: np.ndarray, h: np.ndarray) -> np.ndarray:
 def judge(pages: DataFrame, listed: DataFrame, rules=RULES, max_bits: int = MAX_BITS) -> DataFrame:
     """page_id, host, path, rule, verdict, canonical, maybe_listed, listed. `listed` has one column url of canonical URLs."""
     spark = pages.sparkSession
-    listed = listed.select(F.col("url").alias("listed_url")).where("listed_url is not null").distinct()
-    filled = spark.sparkContext.broadcast(build_bloom(listed, "listed_url", max_bits=max_bits))
+    listed = written(listed.select(F.col("url").alias("canonical")).where("canonical is not null").distinct(), "listed")
+    filled = spark.sparkContext.broadcast(build_bloom(listed, "canonical", max_bits=max_bits))  # at most max_bits
 
     @F.pandas_udf("boolean")
     def probe(h):
@@ -131,12 +136,23 @@ def judge(pages: DataFrame, listed: DataFrame, rules=RULES, max_bits: int = MAX_
         return pd.Series(maybe(filled.value, h.to_numpy(np.int64)))
 
     base = pages.select(F.col("page_id"), "url", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), canonical(F.col("url")).alias("canonical"))
-    base = base.withColumn("maybe_listed", F.col("canonical").isNotNull() & probe(F.xxhash64("canonical")))
-    # Rows that the filter turns away get a null key of their own: they join with nothing and aren't gathered in one task.
-    hit = F.when(F.col("maybe_listed"), F.col("canonical"))
-    keyed = base.withColumn("probe_key", hit)
-    out = keyed.where("probe_key is not null").join(listed, F.col("probe_key") == F.col("listed_url"), "left")
-    out = out.unionByName(keyed.where("probe_key is null").withColumn("listed_url", F.lit(None).cast("string")))
+    base = written(base.withColumn("maybe_listed", F.col("canonical").isNotNull() & probe(F.xxhash64("canonical"))).drop("url"), "urls")
+    hits = base.where("maybe_listed")
+    counts = hits.groupBy("canonical").agg(F.count(F.lit(1)).alias("_n"))
+    marked = written(counts.join(listed.withColumn("_listed", F.lit(True)), "canonical", "left"), "hits")
+    total = int(marked.agg(F.sum("_n")).first()[0] or 0)
+    out = spread_join(hits, marked, "canonical", "_n", total).select(*base.columns, F.coalesce("_listed", F.lit(False)).alias("listed"))
+    out = out.unionByName(base.where("not maybe_listed").withColumn("listed", F.lit(False)))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    in_list = F.col("listed_url").isNotNull()
-    return out.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(in_list, "block").otherwise("allow")).alias("verdict"), "canonical", "maybe_listed", in_list.alias("listed"))
+    return out.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"), "canonical", "maybe_listed", "listed")
+
+
+def with_mirrors(pages: DataFrame, bad: Column, least_bytes: int = 100) -> DataFrame:
+    """One column url: canonical URLs of the pages that `bad` marks, and of all pages with the html of one of them, if that has `least_bytes`."""
+    url = F.col("url")
+    body = F.when(F.octet_length("html") >= least_bytes, F.sha2("html", 256))
+    rows = written(pages.select(canonical(url).alias("url"), F.coalesce(bad, F.lit(False)).alias("bad"), body.alias("digest")).where("url is not null"), "bodies")
+    copies = rows.where("digest is not null").groupBy("digest").agg(F.max("bad").alias("_bad"), F.count(F.lit(1)).alias("_n")).where("_bad and _n > 1")
+    copies = written(copies, "mirrors")
+    total = int(copies.agg(F.sum("_n")).first()[0] or 0)
+    return rows.where("bad").select("url").unionByName(spread_join(rows, copies, "digest", "_n", total).select("url")).distinct()

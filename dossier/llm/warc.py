@@ -16,7 +16,8 @@ archive of a task that failed or was lost isn't in it and so is never read.
 Defined cases: null html is an empty payload; a null url is an empty target. Rows with a
 null page_id come after all ids; if no record of a payload has an id, all stay responses.
 Repeated rows with the smallest page_id of their payload all stay responses. Other columns
-are ignored, whatever their names. An empty table gives no records.
+are ignored, whatever their names. A very long html is written whole, as one record. An empty
+table gives no records.
 """
 
 from __future__ import annotations
@@ -31,12 +32,14 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.shared import scratch, written
+from dossier.llm.shared import scratch, shared_dir, written
 
 MIN_REVISIT = 100
 #: Bytes after which a task starts another archive.
 SEGMENT_BYTES = 32 << 20
 SALTS = 64
+#: Archive bytes that a task reads back, about, and the fewest that are worth a task of their own.
+TASK_BYTES, LEAST_BYTES = 64 << 20, 1 << 20
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:dossier:warc")
@@ -164,6 +167,12 @@ def resolve(index: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
     )
 
 
+def _tasks(index: DataFrame) -> int:
+    """Tasks for reading an index's archives, by their bytes: its own rows are too small to tell."""
+    size = int(index.agg(F.sum("length")).first()[0] or 0)
+    return max(1, -(-size // TASK_BYTES), min(index.sparkSession.sparkContext.defaultParallelism, -(-size // LEAST_BYTES)))
+
+
 def deduplicate(resolved: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
     """Write new archives, one pass over each old one, with fresh headers; their index, as a table."""
     spark = resolved.sparkSession
@@ -197,14 +206,15 @@ def deduplicate(resolved: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> Data
 
     # Spans of one archive's records of about 8 MB stay together, so that no task holds more than one span of a sort.
     span = F.floor(F.col("offset") / (8 << 20))
-    ordered = resolved.withColumn("_span", span).repartition("path", "_span").sortWithinPartitions("path", "_span", "offset").drop("_span")
+    resolved = written(resolved, "warc-resolved")
+    ordered = resolved.withColumn("_span", span).repartition(_tasks(resolved), "path", "_span").sortWithinPartitions("path", "_span", "offset").drop("_span")
     return written(ordered.mapInArrow(run, INDEX), "warc-index")
 
 
 def read(index: DataFrame, with_payload: bool = False) -> DataFrame:
     """The records of the archives that an index names, parsed from their bytes; lengths and digests of responses are measured."""
     spark = index.sparkSession
-    uri = scratch(spark, "x")
+    uri = shared_dir(spark)
 
     def run(batches):
         files = fs.FileSystem.from_uri(uri)[0]
@@ -226,7 +236,7 @@ def read(index: DataFrame, with_payload: bool = False) -> DataFrame:
 
     # Consecutive records of about 1 MB are one read.
     reads = index.groupBy("path", F.floor(F.col("offset") / (1 << 20)).alias("_part")).agg(F.min("offset").alias("start"), F.max(F.col("offset") + F.col("length")).alias("stop"))
-    return reads.select("path", "start", "stop").mapInArrow(run, RECORD)
+    return reads.repartition(_tasks(index), "path", "_part").select("path", "start", "stop").mapInArrow(run, RECORD)
 
 
 def payloads_of(records: DataFrame) -> DataFrame:

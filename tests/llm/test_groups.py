@@ -163,7 +163,7 @@ def test_op7_exact(spark, block, query, tile, pivots):
     rows += [(40, rows[40][1]), (40, rows[40][1]), (500, rows[3][1]), (None, rows[0][1]), (600, None), (620, [None] * 8), (640, [float("nan")] * 8), (660, [float("inf")] * 8), (680, [1.0, 2.0]), (700, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({"row": F.lit("x"), "dist": F.lit(1)})
     rows = [(r["vec_id"], r["embedding"]) for r in df.collect()]
-    got = topk.search(topk.quantized(df), F.col("vec_id") % 20 == 0, block_rows=block, query_rows=query, tile_rows=tile, pivots=pivots)
+    got = topk.search(topk.quantized(df), F.col("vec_id") % 20 == 0, block_rows=block, query_rows=query, tile_rows=tile, pivots=pivots, group_blocks=2)
     assert sorted(tuple(r) for r in got.collect()) == brute_topk(rows)
 
 
@@ -172,9 +172,15 @@ def test_op7_small_tables(spark):
     for rows in ([], [(0, [1.0])], [(0, [1.0]), (1, [2.0])]):
         df = spark.createDataFrame(rows, schema)
         assert sorted(tuple(r) for r in topk.search(topk.quantized(df), F.col("vec_id") % 20 == 0).collect()) == brute_topk(rows)
-    big = spark.createDataFrame([(0, [1e9]), (1, [1e9])], schema)
-    with pytest.raises(Exception, match="too large"):
-        topk.search(topk.quantized(big), F.col("vec_id") % 20 == 0).collect()
+
+
+def test_op7_large_components_are_exact(spark):
+    schema = "vec_id long, embedding array<double>"
+    rows = [(k, [float(3**k % 1000), 1e8 + k, -1e8]) for k in range(60)] + [(100, [1e15, 0.0, 1.0]), (101, [-1e15, 5.0, 2.0]), (120, [2e7, 1e9, 1e9 + 1])]
+    got = sorted(tuple(r) for r in topk.search(topk.quantized(spark.createDataFrame(rows, schema)), F.col("vec_id") % 20 == 0, block_rows=16, tile_rows=5).collect())
+    fit = lambda s: min(max(s, -(1 << 63)), (1 << 63) - 1)
+    assert [r[3] for r in got] == [fit(s) for *_, s in brute_topk(rows)]
+    assert [r for r in got if abs(r[3]) < 1 << 62] == [r for r in brute_topk(rows) if abs(r[3]) < 1 << 62]
 
 
 # op8
