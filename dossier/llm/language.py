@@ -49,6 +49,8 @@ PART_LANGUAGES = 2000
 #: Languages up to which their row counts are broadcast; more are joined by shuffle.
 BROADCAST_LANGUAGES = 1 << 20
 NONE = "und"
+#: Stands between words; no letter, and not 0, so that n-grams of different length differ as numbers.
+MARK = 1
 #: Characters of a text whose n-grams are counted at once.
 GRAM_CHARS = 1 << 20
 
@@ -84,37 +86,40 @@ class Model:
     parts: int
 
 
-def grams(text: str) -> np.ndarray:
-    """The 1- to 3-grams of a text, 21 bits a code point."""
+def marked(text: str) -> np.ndarray:
+    """Lower-cased letters of a text, a MARK between words and at both ends; empty if there is no letter."""
     codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
     letter = _code_tables()[0][codes] == LETTER
     if not letter.any():
-        return np.zeros(0, np.int64)
-    # one mark between words
+        return np.zeros(0, np.uint32)
     keep = letter.copy()
     keep[1:] |= letter[:-1]
-    c = np.where(letter, codes, 0)[keep].astype(np.int64)
-    c = np.r_[0, c, 0] if letter[-1] else np.r_[0, c]
+    c = np.where(letter, codes, MARK)[keep].astype(np.uint32)
+    return np.concatenate([[MARK], c, [MARK]] if letter[-1] else [[MARK], c]).astype(np.uint32)
+
+
+def grams(c: np.ndarray) -> np.ndarray:
+    """The 1- to 3-grams that start in marked letters, 21 bits a code point."""
+    c = c.astype(np.int64)
     two = c[:-1] << 21 | c[1:]
-    three = (two[:-1] << 21 | c[2:])[c[1:-1] > 0]
-    return np.concatenate([c[c > 0], two, three])
+    return np.concatenate([c[c != MARK], two, (two[:-1] << 21 | c[2:])[c[1:-1] != MARK]])
 
 
 def text_grams(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Different n-grams of a text, ascending, and their counts; a very long text is counted a piece at a time, cut between words."""
-    held, at = [], 0
-    while at < len(text) or not held:
-        to = min(at + GRAM_CHARS, len(text))
-        while to < len(text) and text[to] not in " \n":  # no letter: nothing crosses it
-            to += 1
-        held.append(counted(grams(text[at:to])))
-        if len(held) > 8 or (to == len(text) and len(held) > 1):
-            keys, which = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-            held = [(keys, np.bincount(which, np.concatenate([n for _, n in held]), len(keys)).astype(np.int64))]
-        at = to
-        if at == len(text):
-            break
-    return held[0]
+    """Different n-grams of a text, ascending, and their counts; of a very long text a piece at a time."""
+    c = marked(text)
+    if len(c) <= GRAM_CHARS + 2:
+        return counted(grams(c))
+    keys, total = counted(grams(c[: GRAM_CHARS + 2]))
+    for a in range(GRAM_CHARS, len(c) - 2, GRAM_CHARS):
+        part = c[a : a + GRAM_CHARS + 2]
+        more, n = counted(grams(part))
+        again, m = counted(grams(part[:2]))  # what starts in the shared two was counted before
+        n[np.searchsorted(more, again)] -= m
+        every, which = np.unique(np.concatenate([keys, more]), return_inverse=True)
+        keys, total = every, np.bincount(which, np.concatenate([total, n]), len(every)).astype(np.int64)
+    some = total > 0
+    return keys[some], total[some]
 
 
 def counted(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,7 +140,7 @@ def profile(keys: np.ndarray, counts: np.ndarray, size: int = PROFILE) -> np.nda
 def part_from_texts(texts: dict[str, list[str]]) -> Part:
     names, lists = [], []
     for name in sorted(texts):
-        keys, counts = counted(np.concatenate([grams(x) for x in texts[name]] or [np.zeros(0, np.int64)]))
+        keys, counts = counted(np.concatenate([grams(marked(x)) for x in texts[name]] or [np.zeros(0, np.int64)]))
         best = profile(keys, counts)
         names += [name] * len(best)
         lists.append(best)
@@ -159,7 +164,7 @@ def fit(documents: DataFrame, sample_rows: int = SAMPLE_ROWS, part_languages: in
         for batch, t in tb.blocks(batches, "text"):
             held: dict[str, list] = {}
             for name, text in zip(batch.column(0).to_pylist(), _texts(t)):
-                held.setdefault(name, []).append(grams(text))
+                held.setdefault(name, []).append(grams(marked(text)))
             for name, parts in held.items():
                 keys, counts = counted(np.concatenate(parts))
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(keys), pa.string()), pa.array(keys), pa.array(counts, pa.int64())], names=["lang", "gram", "n"])

@@ -128,7 +128,7 @@ def _group_sizes(keys, check) -> tuple[np.ndarray, np.ndarray]:
         order, group, first = tb.groups(key)
         size = np.diff(np.r_[first, len(key)])
         later = np.flatnonzero(size[group] > 1)
-        if make is keys[-1] or check(order[later], order[first[group[later]]]).all():
+        if make is keys[-1] or all(check(order[x], order[first[group[x]]]).all() for x in (later[a : a + tb.BLOCK_BYTES] for a in range(0, len(later), tb.BLOCK_BYTES))):
             break
     out = np.empty(len(key), np.int64)
     out[order] = size[group]

@@ -212,14 +212,19 @@ class SpanHash:
         inverse = _tables()[1]
         if self.whole is not None:
             return (self.whole[end] - self.whole[start]) * inverse[start]
-        low, high = np.zeros(len(start), np.uint64), np.zeros(len(end), np.uint64)
-        unit = np.zeros(len(start), np.uint64)
+        out = np.empty(len(start), np.uint64)
+        for a in range(0, len(start), CHUNK):
+            out[a : a + CHUNK] = self._far(start[a : a + CHUNK], end[a : a + CHUNK])
+        return out
+
+    def _far(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        low, high, unit = (np.zeros(len(start), np.uint64) for _ in range(3))
         sides = []
         for places, out in ((start, low), (end, high)):
             order = np.argsort(places, kind="stable")
             sides.append((places, out, order, places[order]))
         before = 0
-        for at in range(0, len(self.data) + 1, CHUNK):
+        for at in range(int(start.min()) // CHUNK * CHUNK, int(end.max()) + 1, CHUNK):
             prefix = self._prefix(at)
             lift = pow(_BASE, at, 1 << 64)
             for k, (places, out, order, ascending) in enumerate(sides):
@@ -228,7 +233,7 @@ class SpanHash:
                 inner = places[mine] - at
                 out[mine] = prefix[inner] * _U(lift) + _U(before)
                 if not k:
-                    unit[mine] = inverse[inner] * _U(pow(_INVERSE, at, 1 << 64))
+                    unit[mine] = _tables()[1][inner] * _U(pow(_INVERSE, at, 1 << 64))
             before = (before + int(prefix[-1]) * lift) % (1 << 64)
         return (high - low) * unit
 

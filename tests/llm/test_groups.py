@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from conftest_llm import by_id
 from dossier.llm import mixing, queries, secrets, simhash, topk, url_filter, warc
+from dossier.llm.shared import spread_join
 
 SF = "/root/testdata/sf0.001"
 TABLES = "documents embeddings pages benchmark labels conversations".split()
@@ -69,6 +70,33 @@ def test_op2_bloom_has_no_false_negatives_and_few_false_positives(spark):
     assert url_filter.maybe(tiny, hashes(0, 100)).all()
 
 
+def test_op2_repeated_urls_and_mirrors(spark):
+    body = "<p>" + "x" * 200
+    rows = [(k, "http://hot.io/a?utm_x=" + str(k), "y") for k in range(300)] + [(1000, "http://spam.io/1", body), (1001, "http://other.io/copy", body), (1002, "http://spam.io/2", "short"), (1003, "http://third.io/s", "short"), (1004, None, body), (1005, "http://clean.io", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    listed = url_filter.with_mirrors(pages, url_filter.host(F.col("url")) == "spam.io")
+    assert sorted(r[0] for r in listed.collect()) == ["other.io/copy", "spam.io/1", "spam.io/2"]
+    listed = listed.unionByName(spark.createDataFrame([("hot.io/a",)], "url string"))
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(pages, listed).collect()}
+    assert {k for k, v in got.items() if v == "block"} == {*range(300), 1000, 1001, 1002} and len(got) == len(rows)
+    empty = url_filter.with_mirrors(pages.limit(0), F.lit(True))
+    assert empty.count() == 0 and url_filter.judge(pages.limit(0), empty).count() == 0
+
+
+def test_op2_long_url(spark):
+    path = "a/" * 500_000
+    pages = spark.createDataFrame([(1, f"http://H.net/{path}?q=1"), (2, "http://h.org/" + path)], "page_id long, url string")
+    got = {r["page_id"]: r for r in url_filter.judge(pages, spark.createDataFrame([("h.org/" + path.rstrip("/"),)], "url string")).collect()}
+    assert got[1]["path"] == "/" + path and (got[1]["rule"], got[1]["verdict"], got[2]["verdict"]) == ("net/", "block", "block")
+
+
+def test_hot_keys_meet_by_broadcast_and_others_by_shuffle(spark):
+    left = spark.createDataFrame([(1, k) for k in range(500)] + [(2, 0), (2, 1), (3, 0)], "k int, v int")
+    right = spark.createDataFrame([(1, "hot", 500), (2, "cold", 2), (4, "none", 0)], "k int, name string, n long")
+    got = sorted(tuple(r) for r in spread_join(left, right, "k", "n", 503, hot_rows=10).select("k", "v", "name").collect())
+    assert got == [(1, k, "hot") for k in range(500)] + [(2, 0, "cold"), (2, 1, "cold")]
+
+
 # op3
 
 
@@ -267,6 +295,13 @@ def test_op8_edges(spark, edges):
     assert simhash.labelled(edges.limit(0)).count() == 0 == simhash.distinct_documents(edges.limit(0)).count()
 
 
+def test_op8_repeated_ids_keep_the_smallest_text(spark):
+    rows = [(5, "one two three four five six", "b"), (5, "zzz other words that are here now", "a"), (5, "one two three four five six", "a"), (6, "quite another text with its own words", "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for part in (df, df.repartition(3)):
+        assert sorted(tuple(r) for r in simhash.distinct_documents(part).collect()) == [rows[2], rows[3]]
+
+
 # op10
 
 
@@ -296,6 +331,13 @@ def test_op10_round_trip(spark):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_op10_very_long_html(spark):
+    rows = [(1, "é" * 3_000_000), (2, "é" * 3_000_000), (3, "x")]
+    df = spark.createDataFrame([(p, "http://h", h) for p, h in rows], "page_id long, url string, html string")
+    got = warc.round_trip(df)
+    assert sorted((tuple(r[c] for c in ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")) for r in got.collect()), key=str) == brute_warc(rows)
+
+
 def test_op10_archives(spark):
     hot = "y" * 200
     df = spark.createDataFrame([(k, f"http://h/{k}", hot if k % 2 else f"page {k} " * 50) for k in range(40)], "page_id long, url string, html string")
