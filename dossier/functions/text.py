@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: White space as Python's str.split() sees it; Java's (?U)\s lacks U+001C to U+001F.
 SPACE = r"(?U)[\s\x1c-\x1f]"
@@ -76,17 +74,18 @@ def fold_text(text: str) -> str:
     return unicodedata.normalize("NFC", "".join(x for x in low if unicodedata.category(x) != "Mn"))
 
 
-@F.pandas_udf(T.StringType())
-def casefold(s: pd.Series) -> pd.Series:
-    """Full Unicode case folding; meant for small sides, such as metadata."""
-    return s.str.casefold()
+def casefold(c: Column) -> Column:
+    """Equal for strings that are equal under Unicode's full case folding, inside the JVM: ß and SS, ς and Σ, ſ and S.
+
+    Dotless ı, whose upper case is I, stands aside meanwhile.
+    """
+    kept = F.translate(F.lower(c), "ı", "\uf8fe")
+    full = F.translate(F.lower(F.upper(kept)), "ς\uf8fe", "σı")
+    return F.when(c.rlike(r"[^\x00-\x7f]"), full).otherwise(F.lower(c))
 
 
 def casefold_equal(c: Column, value: str) -> Column:
-    """Equality under case folding. ASCII values compare in the JVM, others through the UDF."""
-    want = value.strip().casefold()
-    plain = F.lower(c) == want
-    return plain if want.isascii() and not any(x in want for x in ("ss", "ff", "fi", "fl", "st")) else casefold(c) == want
+    return casefold(c) == casefold(F.lit(value.strip()))
 
 
 def citation(title: Column, meeting_date: Column, page: Column) -> Column:
@@ -115,6 +114,11 @@ def metadata(c: Column) -> Column:
     return F.coalesce(F.from_json(F.when(F.schema_of_variant(parsed).startswith("OBJECT"), c), "map<string,string>"), F.create_map().cast("map<string,string>"))
 
 
+def merged(stored: Column, given: Column) -> Column:
+    """Both maps' members; those of `given` win."""
+    return F.map_concat(F.map_filter(stored, lambda k, _: ~F.map_contains_key(given, k)), given)
+
+
 def json_text(c: Column, key: str) -> Column:
     """The value of a key if it is a JSON string; numbers and other types give null, so that 2026 isn't '2026'."""
     v = F.try_variant_get(F.try_parse_json(c), f"$.{key}", "variant")

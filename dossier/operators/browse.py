@@ -63,6 +63,15 @@ def flat_documents(documents: DataFrame) -> DataFrame:
     return documents.withColumns(meta | more)
 
 
+def resolved(documents: DataFrame) -> DataFrame:
+    """Documents whose columns, where they are empty, take the value of metadata_json."""
+    of = lambda n: t.json_text(F.col("metadata_json"), n)
+    own = lambda c: t.optional(F.col(c)) if c in documents.columns else F.lit(None).cast("string")
+    chains = {c: [own(c), t.optional(of(c))] for c in ("title", "meeting_date", "body", "document_type", "jurisdiction", "source_url")}
+    chains["source_path"] = [own("source_path"), t.optional(of("stored_source_path")), t.optional(of("source_filename"))]
+    return documents.withColumns({c: F.coalesce(*x) for c, x in chains.items()})
+
+
 def _with_meta(documents: DataFrame) -> DataFrame:
     missing = [n for n in ("meta_source_url", "meta_stored_source_path", "meta_source_filename") if n not in documents.columns]
     return documents.withColumns({n: F.lit(None).cast("string") for n in missing}) if missing else documents
@@ -139,7 +148,7 @@ def browse(items: DataFrame, documents: DataFrame, item_types: tuple[str, ...],
     total = rows.agg(F.count(F.lit(1)).alias("total"))
     page = rows.orderBy(*keys).offset(offset).limit(limit)
     place = (F.row_number().over(Window.orderBy(*keys)) + offset).alias("place")
-    return page.crossJoin(F.broadcast(total)).select(place, "item_id", "document_id", "item_type", "label", "summary", "confidence", shown_date.alias("display_date"), "title", best_source().alias("source"), "total").orderBy("place")
+    return page.crossJoin(F.broadcast(total)).select(place, "item_id", "document_id", "item_type", "label", "summary", "confidence", shown_date.alias("display_date"), "title", "meeting_date", best_source().alias("source"), "total").orderBy("place")
 
 
 def with_evidence(items: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -148,6 +157,14 @@ def with_evidence(items: DataFrame, evidence: DataFrame) -> DataFrame:
     return items.join(rows, "item_id", "left").withColumn("evidence", F.coalesce("evidence", F.array().cast(rows.schema["evidence"].dataType)))
 
 
+def list_items(items: DataFrame, evidence: DataFrame, document_id: str | None = None, item_type: str | None = None, item_id: str | None = None) -> DataFrame:
+    """Items with their evidence, of a document, a type, an id, or all; in order of created_at and id."""
+    rows = items
+    for c, v in (("document_id", document_id), ("item_type", item_type), ("item_id", item_id)):
+        rows = rows.where(F.col(c) == v) if v is not None else rows
+    return with_evidence(rows, evidence).orderBy("created_at", "item_id")
+
+
 def item_show(items: DataFrame, documents: DataFrame, item_id: str) -> DataFrame:
     return items.where(F.col("item_id") == item_id).join(documents.select("document_id", "title", "meeting_date"), "document_id")
 
@@ -169,7 +186,7 @@ def packet(results: DataFrame, query: str, labels: list[str] | None = None) -> s
     out += [] if rows else ["No evidence found.", ""]
     dated = sorted((r["meeting_date"], r["citation"]) for r in rows if r["meeting_date"] is not None)
     out += ["## Timeline", ""] + ([f"- {d} — {c}" for d, c in dated] or ["- No dated evidence found."]) + [""]
-    asked = ("What additional source documents should be reviewed?", "Are there related agenda items, minutes, " "or staff reports that corroborate this evidence?")
+    asked = ("What additional source documents should be reviewed?", "Are there related agenda items, minutes, or staff reports that corroborate this evidence?")
     out += ["## Open Questions", ""] + [f"- {q}" for q in asked] + ["", "## Source List", ""]
     names = {"title": "title", "body": "body", "meeting date": "meeting_date", "document type": "document_type", "jurisdiction": "jurisdiction", "source file": "source_path", "source URL": "source_url"}
     for r in rows:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,8 +27,8 @@ class EnrichmentError(ValueError):
 
 
 def for_match(c: Column) -> Column:
-    """Lower case, white space collapsed."""
-    return F.lower(t.collapse(c))
+    """Case folded, white space collapsed."""
+    return t.casefold(t.collapse(c))
 
 
 def contexts(pages: DataFrame, passages: DataFrame) -> DataFrame:
@@ -42,16 +42,36 @@ def contexts(pages: DataFrame, passages: DataFrame) -> DataFrame:
 def support(claims: DataFrame, where: DataFrame) -> DataFrame:
     """claims (claim_id, document_id, page_start, page_end, quote, passage_id) with the first supporting context, or nulls.
 
-    An equi-join on the document; overlap of pages and containment are its residual. The
-    first support is a minimum, taken by an aggregate that combines within tasks.
+    An equi-join on the document; overlap of pages and then containment are its residual, so
+    that only the text of cited pages is normalized. The first support is a minimum, taken by
+    an aggregate that combines within tasks.
     """
     c = claims.select("claim_id", "document_id", F.col("page_start").alias("_s"), F.coalesce(F.nullif("page_end", F.lit(0)), "page_start").alias("_e"), for_match(F.col("quote")).alias("_q"), F.col("passage_id").alias("_p"))
-    x = where.select("document_id", "source_rank", "place", "page_id", F.col("passage_id").alias("found_passage"), "page_start", "page_end", for_match(F.col("text")).alias("_t"))
-    hit = (c["document_id"] == x["document_id"]) & (x["page_start"] <= c["_e"]) & (x["page_end"] >= c["_s"]) & x["_t"].contains(c["_q"]) & (c["_p"].isNull() | c["_p"].eqNullSafe(x["found_passage"]))
+    x = where.select("document_id", "source_rank", "place", "page_id", F.col("passage_id").alias("found_passage"), "page_start", "page_end", F.col("text").alias("_t"))
+    hit = (c["document_id"] == x["document_id"]) & (x["page_start"] <= c["_e"]) & (x["page_end"] >= c["_s"]) & (c["_p"].isNull() | c["_p"].eqNullSafe(x["found_passage"])) & for_match(x["_t"]).contains(c["_q"])
     found = c.join(x, hit).groupBy("claim_id").agg(F.min_by(F.struct(F.col("page_id").alias("page_id"), F.col("found_passage").alias("passage_id"), F.lit(True).alias("supported")), F.struct("source_rank", "place")).alias("_f"))
     return claims.drop("passage_id").join(found, "claim_id", "left").select(*[k for k in claims.columns if k != "passage_id"], F.col("_f.page_id").alias("page_id"), F.col("_f.passage_id").alias("passage_id"), F.coalesce(F.col("_f.supported"), F.lit(False)).alias("supported"))
 
 
+def read_responses(spark: SparkSession, path: str) -> DataFrame:
+    """document_id and body from JSON files, one a document, whose names are the documents' ids."""
+    rows = spark.read.option("wholetext", "true").option("pathGlobFilter", "*.json").text(path)
+    return rows.select(F.regexp_extract(F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B")), r"([^/]*)\.json\z", 1).alias("document_id"), F.col("value").alias("body"))
+
+
+def rows_of(good: DataFrame, responses: DataFrame, provider: str, model: str, created_at: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(items, evidence, briefs) of accepted claims, for `storage.append_items`."""
+    now = F.lit(created_at) if created_at else F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")
+    item = F.concat(F.lit("item-"), F.substring(F.sha2(F.concat_ws("|", "claim_id", "item_type", "label", "summary"), 256), 1, 16))
+    none = F.lit(None).cast("string")
+    items = good.select(item.alias("item_id"), "document_id", "item_type", "label", F.lit("{}").alias("value_json"), "summary", "confidence", F.lit("enrichment").alias("extractor"), F.lit(provider).alias("provider"), F.lit(model).alias("model"), now.alias("created_at"))
+    evidence = good.select(F.concat(item, F.lit("-1")).alias("evidence_id"), item.alias("item_id"), "document_id", "page_id", "passage_id", "page_start", "page_end", "quote", F.lit("validated").alias("validation_status"))
+    parsed = parse_responses(responses).where("problem is null").join(good.select("document_id").distinct(), "document_id", "left_semi")
+    brief = F.concat(F.lit("brief-"), F.substring(F.sha2(F.concat_ws("|", "document_id", F.col("r.summary")), 256), 1, 16))
+    briefs = parsed.select(brief.alias("brief_id"), "document_id", F.trim("r.summary").alias("summary"), none.alias("significance"), F.col("r.open_questions").alias("open_questions"), F.lit("enrichment").alias("extractor"), F.lit("validated").alias("status"), now.alias("created_at"))
+    return items, evidence, briefs
+
+
 def parse_responses(responses: DataFrame) -> DataFrame:
     """document_id, r (the response) and problem, null if its form is right. responses: document_id, body (JSON text)."""
     r = F.from_json("body", RESPONSE)

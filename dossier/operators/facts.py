@@ -12,13 +12,16 @@ from __future__ import annotations
 import calendar
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from datetime import date
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dossier.functions import text as t
+
 EXTRACTOR, PROVIDER, MODEL, VALIDATED = "rules-over-pages", "rules", "rules-v1", "validated"
 QUOTE_CHARS, LABEL_CHARS, SENTENCE_CHARS, ENTITY_CHARS = 280, 80, 20, 80
 
@@ -36,6 +39,10 @@ SENTENCE = re.compile(r"[^\n?!.]*(?:[?!.]|$)")
 DEADLINE = re.compile(r"\b(?:due|deadline|no later than|must (?:be (?:completed|submitted)|begin) by|by\s+(?:" + "|".join(calendar.month_abbr[1:]) + r"))\b", _I)
 ACTIONS = "accepted adopted amended approved authorized awarded denied passed postponed rejected tabled voted".split()
 ACTION = re.compile(r"\b(?:" + "|".join(ACTIONS) + r")\b", _I)
+#: Cheap signs, by literal text first, that a date may be there; and the two sentence rules for lower-cased text.
+_ISO_SIGN, _LONG_SIGN = re.compile(r"20\d\d-\d\d-\d\d"), re.compile(r",\s+20\d\d")
+_DEADLINE_LOW = re.compile(r"\b(?:due|deadline|no later than|must (?:be (?:completed|submitted)|begin) by|by\s+(?:" + "|".join(x.lower() for x in calendar.month_abbr[1:]) + r"))\b")
+_ACTION_LOW = re.compile(r"\b(?:" + "|".join(ACTIONS) + r")\b")
 #: Letters that match ASCII ones when case is ignored, but aren't lower-cased to them; texts that hold one skip the cheap tests.
 _ODD = re.compile("[\u017f\u0130\u0131]")
 
@@ -56,8 +63,8 @@ sewer: sewer|wastewater|treatment plant
 stormwater: stormwater|runoff|drainage
 zoning: zoning|rezoning|variance""".splitlines()
 }
-_WORDS = {k: re.compile(rf"\b{re.escape(k)}\b") for keys in TOPICS.values() for k in keys}
-_WORDS_I = {k: re.compile(p.pattern, _I) for k, p in _WORDS.items()}
+_BY_NAME = sorted(TOPICS.items())
+_WORDS_I = {k: re.compile(rf"\b{re.escape(k)}\b", _I) for keys in TOPICS.values() for k in keys}
 SUFFIXES = frozenset("Agency Authority Board Bureau City Commission Committee Company Construction Corp Corporation Council County Department Inc LLC Library Mayor Office".split())
 NOT_FIRST = frozenset("All Join Monday Open Page The".split())
 NOT_NAMES = frozenset(["Page", "Staff Report", "City Manager", "City Manager Report", *(f"City Manager{q}s Report" for q in "'’")])
@@ -108,11 +115,27 @@ def is_entity(label: str) -> bool:
     return known if label.isupper() else known or all(map(_title, words))
 
 
-def facts_of(text: str) -> Iterator[tuple[str, str, dict, str, str]]:
-    """(item_type, label, value, summary, quote) in rule order, repeats included."""
+def _word_at(low: str, word: str) -> int:
+    """Where a word first stands by itself, as `\\b` has it, or -1."""
+    i = low.find(word)
+    while i >= 0:
+        end = i + len(word)
+        if not (i and (low[i - 1].isalnum() or low[i - 1] == "_")) and not (end < len(low) and (low[end].isalnum() or low[end] == "_")):
+            return i
+        i = low.find(word, i + 1)
+    return -1
+
+
+def _unquoted(text: str, first: int, last: int) -> str:
+    return ""
+
+
+def facts_of(text: str, quotes: bool = True) -> Iterator[tuple[str, str, tuple[str, str], str, str]]:
+    """(item_type, label, key and value, summary, quote) in rule order, repeats included. Without `quotes` most stay empty."""
     if not text.strip():
         return
     seen = "{} appears in document text.".format
+    quote = quote_at if quotes else _unquoted
     low = text.lower()
     odd = _ODD.search(text) is not None
 
@@ -123,8 +146,8 @@ def facts_of(text: str) -> Iterator[tuple[str, str, dict, str, str]]:
     rules = (
         (may("$"), "money", "amount_text", MONEY),
         (may("%", "percent"), "percentage", "percentage_text", PERCENT),
-        (may("-") and may("20"), "date", "date_text", ISO),
-        (may("20") and may(","), "date", "date_text", LONG),
+        (_ISO_SIGN.search(text), "date", "date_text", ISO),
+        (_LONG_SIGN.search(text), "date", "date_text", LONG),
         (may("://"), "url", "url", URL),
         (may("ordinance", "resolution"), "civic_identifier", "identifier", IDENTIFIER),
     )
@@ -132,51 +155,84 @@ def facts_of(text: str) -> Iterator[tuple[str, str, dict, str, str]]:
         for m in pattern.finditer(text) if there else ():
             label = _one(m[0].rstrip(".,;:"))
             if label and (kind != "date" or real_date(label)):
-                yield kind, label, {key: label}, seen(label), quote_at(text, *m.span())
+                yield kind, label, (key, label), seen(label), quote(text, *m.span())
     # DEADLINE sees collapsed sentences: its marks are single words, as blanks may still be irregular here.
     due, acted = may("due", "deadline", "later", "by"), may(*ACTIONS)
     for m in SENTENCE.finditer(text) if due or acted else ():
         s = _one(m[0])
         if len(s) < SENTENCE_CHARS:
             continue
-        if due and DEADLINE.search(s):
-            found = ISO.search(s) or LONG.search(s)
+        small = s if odd else s.lower()
+        if due and (DEADLINE if odd else _DEADLINE_LOW).search(small):
+            found = _ISO_SIGN.search(s) and ISO.search(s) or _LONG_SIGN.search(s) and LONG.search(s)
             label = _one(found[0]) if found else short(s, LABEL_CHARS) or "deadline"
-            yield "deadline", label, {"phrase": label}, "Deadline-related language appears in document text.", s
-        if acted and (verb := ACTION.search(s)):
-            yield "action", verb[0].lower(), {"verb": verb[0].lower()}, "Action or vote language appears in document text.", s
-    for topic in sorted(TOPICS):
-        word = next((k for k in TOPICS[topic] if k in low and _WORDS[k].search(low)), None)
-        if word is not None:
-            m = _WORDS_I[word].search(text)
-            yield "topic", topic, {"keyword": word}, f"Topic candidate from keyword '{word}'.", quote_at(text, *m.span()) if m else short(text)
+            yield "deadline", label, ("phrase", label), "Deadline-related language appears in document text.", s
+        if acted and (verb := (ACTION if odd else _ACTION_LOW).search(small)):
+            yield "action", verb[0].lower(), ("verb", verb[0].lower()), "Action or vote language appears in document text.", s
+    aligned = len(low) == len(text) and not odd
+    for topic, words in _BY_NAME:
+        for word in words:
+            at = _word_at(low, word)
+            if at < 0:
+                continue
+            m = None if aligned else _WORDS_I[word].search(text)
+            span = (at, at + len(word)) if aligned else m.span() if m else None
+            yield "topic", topic, ("keyword", word), f"Topic candidate from keyword '{word}'.", quote(text, *span) if span else short(text)
+            break
     for m in ENTITY.finditer(text):
         label = _one(m[0].strip("[]().,:;"))
         if is_entity(label):
-            yield "entity", label, {"name": label}, "Entity candidate from capitalized phrase.", quote_at(text, *m.span())
+            yield "entity", label, ("name", label), "Entity candidate from capitalized phrase.", quote(text, *m.span())
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """All facts of pages (document_id, page_number, text), repeats included. Null and blank pages give none."""
-    names = [x.split()[0] for x in FACT.split(", ")]
-    types = [pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.string()]
+FIELDS = tuple(x.split()[0] for x in FACT.split(", "))
+_TYPES = dict(zip(FIELDS, (pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.string())))
+_QUOTED = json.encoder.encode_basestring
+
+
+def extract(pages: DataFrame, columns: Sequence[str] = FIELDS) -> DataFrame:
+    """All facts of pages (document_id, page_number, text), repeats included. Null and blank pages give none.
+
+    Only the named columns are made: what the caller drops costs nothing.
+    """
+    quotes = "quote" in columns
 
     def run(batches):
         for b in batches:
-            rows = []
-            for doc, page, text in zip(*(b.column(i).to_pylist() for i in range(3))):
-                for k, (kind, label, value, summary, quote) in enumerate(facts_of(text or "")):
-                    rows.append((doc, page, k, kind, label, json.dumps(value, ensure_ascii=False, sort_keys=True), summary, CONFIDENCE[kind], quote))
-            columns = zip(*rows) if rows else [()] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
-
-    return pages.select(F.col("document_id").cast("string").alias("document_id"), F.col("page_number").cast("long").alias("page_number"), "text").mapInArrow(run, FACT)
+            for at in range(0, b.num_rows, 2000):
+                part = b.slice(at, 2000)
+                made: list[tuple] = []
+                size, seq = [], []
+                for text in part.column(2).to_pylist():
+                    before = len(made)
+                    made.extend(facts_of(text or "", quotes))
+                    size.append(len(made) - before)
+                    seq.extend(range(size[-1]))
+                page = pa.array(np.repeat(np.arange(part.num_rows), size))
+                kinds, labels, values, summaries, quoted = zip(*made) if made else ((),) * 5
+                make = {
+                    "document_id": lambda: part.column(0).take(page),
+                    "page_number": lambda: part.column(1).take(page),
+                    "seq": lambda: seq,
+                    "item_type": lambda: kinds,
+                    "label": lambda: labels,
+                    "value_json": lambda: [f'{{"{k}": {_QUOTED(v)}}}' for k, v in values],
+                    "summary": lambda: summaries,
+                    "confidence": lambda: [CONFIDENCE[k] for k in kinds],
+                    "quote": lambda: quoted,
+                }
+                arrays = [make[c]() for c in columns]
+                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, _TYPES[c]) for c, x in zip(columns, arrays)], names=list(columns))
+
+    schema = ", ".join(x for x in FACT.split(", ") if x.split()[0] in columns)
+    columns = [c for c in FIELDS if c in columns]
+    return pages.select(F.col("document_id").cast("string").alias("document_id"), F.col("page_number").cast("long").alias("page_number"), "text").mapInArrow(run, schema)
 
 
 def fact_key() -> list[Column]:
     """Entities and topics are one a document; others one a page and quote. Case doesn't count."""
     wide = F.col("item_type").isin("entity", "topic")
-    return [F.col("item_type").alias("key_type"), F.lower("label").alias("key_label"), F.when(wide, F.lit(0).cast("long")).otherwise(F.col("page_number")).alias("key_page"), F.when(wide, "").otherwise(F.lower("quote")).alias("key_quote")]
+    return [F.col("item_type").alias("key_type"), t.casefold(F.col("label")).alias("key_label"), F.when(wide, F.lit(0).cast("long")).otherwise(F.col("page_number")).alias("key_page"), F.when(wide, "").otherwise(t.casefold(F.col("quote"))).alias("key_quote")]
 
 
 KEY = ["document_id", "key_type", "key_label", "key_page", "key_quote"]

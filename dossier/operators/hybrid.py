@@ -151,11 +151,13 @@ def hybrid_search(
     vector_weight: float = VECTOR_WEIGHT,
     stemmed: bool = True,
     rerank: Callable[[DataFrame], DataFrame] | None = None,
+    index: lexical.Index | None = None,
 ) -> DataFrame:
     """rank, passage_id, document_id, citation, score, keyword_score, vector_score and the document's metadata.
 
     Candidates are taken before the filter applies, so the two top-k passes are the only ones
-    over all rows; what follows is at most twice the candidate limit.
+    over all rows; what follows is at most twice the candidate limit. With an index of the
+    passages the keyword pass reads only the postings of the query's terms.
     """
     if not query.strip():
         raise SearchError("the query is empty")
@@ -163,9 +165,14 @@ def hybrid_search(
         raise SearchError("limit must be at least 1")
     filters.days()
     take = max(limit * CANDIDATES_A_RESULT, CANDIDATES_AT_LEAST)
-    hits = held(lexical.search(passages, query, take, stemmed), take)
+    found = lexical.search(passages, query, take, stemmed) if index is None else lexical.search_index(passages.sparkSession, index, query, take)
+    hits = held(found, take)
     hits = held(expand_neighbours(hits, passages, take), take)
     near = held(vector_search(vectors, query_vector, take, max_distance), take)
+    if "metadata_json" in documents.columns:
+        from dossier.operators.browse import resolved  # which needs this module
+
+        documents = resolved(documents)
     fields = [c for c in META if c in documents.columns]
     missing = [F.lit(None).cast("string").alias(c) for c in META if c not in documents.columns]
     facts = documents.select("document_id", *(t.optional(F.col(c)).alias(c) for c in fields), *missing)

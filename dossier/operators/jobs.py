@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import threading
+import time
 from collections.abc import Callable
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier.operators.records import latest
@@ -39,6 +40,19 @@ def next_pending(jobs: DataFrame) -> DataFrame:
     return rows.agg(F.min_by(F.struct(*rows.columns), F.struct("created_at", "job_id")).alias("_row")).where("_row is not null").select("_row.*")
 
 
+def retried(jobs: DataFrame, updated_at: Column) -> DataFrame:
+    """Failed jobs as pending ones without their error; no other job can be retried."""
+    return jobs.where("status = 'failed'").withColumns({"status": F.lit("pending"), "error": F.lit(None).cast("string"), "updated_at": updated_at})
+
+
+def lines(jobs: DataFrame) -> DataFrame:
+    """job_id and its display line."""
+    path = F.nullif(F.trim(F.get_json_object("payload_json", "$.path")), F.lit(""))
+    failed = F.when(F.col("status") == "failed", F.concat(F.lit("failed_at="), "updated_at"))
+    said = F.concat(F.lit("error="), F.col("error"))
+    return jobs.select("job_id", F.concat_ws(" ", "job_id", "status", "kind", F.concat(F.lit("updated_at="), "updated_at"), F.concat(F.lit("path="), path), F.when(F.col("error").isNotNull(), failed), said).alias("line"))
+
+
 class Queue:
     """A queue over a Parquet log folder. Claims are safe within one driver, which holds the lock."""
 
@@ -78,6 +92,22 @@ class Queue:
                 self._append(rows)
             return [r[0] for r in rows]
 
+    def enqueue_frame(self, kind: str, rows: DataFrame) -> int:
+        """Append a pending job for each row (job_key, payload_json) whose key has none yet; how many.
+
+        The id comes from the key, so the same rows again, as in a replayed batch, add nothing;
+        rows stay distributed.
+        """
+        with self.lock:
+            now = self.clock()
+            job_id = F.concat(F.lit("job-"), F.substring(F.sha2(F.concat_ws("|", F.lit(kind), "job_key"), 256), 1, 16))
+            new = rows.select(job_id.alias("job_id"), "payload_json").groupBy("job_id").agg(F.min("payload_json").alias("payload_json"))
+            new = new.join(self.log().select("job_id").distinct(), "job_id", "left_anti")
+            made = new.select("job_id", F.lit(kind).alias("kind"), F.lit("pending").alias("status"), "payload_json", F.lit(None).cast("string").alias("error"), F.lit(now).alias("created_at"), F.lit(now).alias("updated_at"), F.lit(self._next()).cast("long").alias("seq"))
+            before = self.log().count()
+            made.write.mode("append").parquet(self.path)
+            return self.log().count() - before
+
     def _set(self, job, status: str, error: str | None = None) -> None:
         self._append([(job["job_id"], job["kind"], status, job["payload_json"], error, job["created_at"], self.clock(), self._next())])
 
@@ -107,6 +137,16 @@ class Queue:
                 raise ValueError(f"{job_id} is {job['status']}, not failed")
             self._set(job, "pending")
 
+    def run(self, handlers: dict[str, Callable[[str], None]], poll: float = 0.5, max_loops: int | None = None) -> int:
+        """Work on and on: one job a loop, a pause when there is none; how many jobs were done in `max_loops`."""
+        n = loops = 0
+        while max_loops is None or loops < max_loops:
+            done = self.work(handlers, 1)
+            n, loops = n + done, loops + 1
+            if not done and (max_loops is None or loops < max_loops):
+                time.sleep(poll)
+        return n
+
     def work(self, handlers: dict[str, Callable[[str], None]], at_most: int | None = None) -> int:
         """Run pending jobs one at a time; an exception fails its job with its text."""
         n = 0

@@ -7,12 +7,15 @@ over all passages, whatever filters follow.
 
 `search` needs no shuffle of tokens: tokens stay in their row, a pass aggregates one row of
 statistics, and the best rows are taken by a distributed top-k. `build_index` stores
-postings for repeated queries; a search then reads only the query terms' buckets.
+postings with positions and the corpus's statistics for repeated queries of the whole
+language; `search_index` then reads only the buckets of the query's terms, and all buckets'
+matching row groups for a prefix.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import lru_cache, reduce
 
@@ -248,33 +251,34 @@ def _count(tokens: Column, p: Phrase) -> Column:
     return F.size(positions(tokens, p))
 
 
-def _near(tokens: Column, n: Near) -> Column:
+def _near(at: Callable[[Phrase], Column], n: Near) -> Column:
     """Whether occurrences of all phrases lie within `distance` tokens of each other, between the first's end and the last's start."""
-    lists = [(positions(tokens, p), len(p.terms)) for p in n.phrases if p.terms]
+    lists = [(at(p), len(p.terms)) for p in n.phrases if p.terms]
     if len(lists) < 2:
         return F.size(lists[0][0]) > 0 if lists else F.lit(False)
 
     def extend(k: int, lo: Column, hi: Column) -> Column:
         # lo: end of the earliest phrase end, hi: latest start; all phrases must fit a span whose inner gap is at most the distance
-        at, size = lists[k]
+        places, size = lists[k]
 
         def ok(i: Column) -> Column:
             new_lo, new_hi = F.least(lo, i + size), F.greatest(hi, i)
             inside = new_hi - new_lo <= n.distance
             return inside & (extend(k + 1, new_lo, new_hi) if k + 1 < len(lists) else F.lit(True))
 
-        return F.exists(at, ok)
+        return F.exists(places, ok)
 
     first, size = lists[0]
     return F.exists(first, lambda i: extend(1, i + size, i))
 
 
-def matches(tokens: Column, tree) -> Column:
+def matches(tree, at: Callable[[Phrase], Column], count: Callable[[Phrase], Column]) -> Column:
+    """Whether a passage fits the query; at: places of a phrase in it, count: how many."""
     if isinstance(tree, Phrase):
-        return _count(tokens, tree) > 0 if tree.terms else F.lit(True)
+        return count(tree) > 0 if tree.terms else F.lit(True)
     if isinstance(tree, Near):
-        return _near(tokens, tree)
-    parts = [matches(tokens, p) for p in tree.parts]
+        return _near(at, tree)
+    parts = [matches(p, at, count) for p in tree.parts]
     if tree.kind == "and":
         return reduce(lambda a, b: a & b, parts)
     if tree.kind == "or":
@@ -305,26 +309,55 @@ def search(passages: DataFrame, query: str, limit: int = 20, stemmed: bool = Fal
         return passages.select(id_column, F.lit(0.0).alias("keyword_score")).limit(0)
     toks = t.tokens(F.col("text"))
     # Bound once a row as a lambda's variable: the optimizer can't copy the tokenizer into each use, as a pushed filter would.
-    measure = lambda x: F.struct(F.array(*(_count(x, p) for p in phrases)).alias("tf"), F.size(x).alias("dl"), matches(x, tree).alias("hit"))
+    measure = lambda x: F.struct(F.array(*(_count(x, p) for p in phrases)).alias("tf"), F.size(x).alias("dl"), matches(tree, lambda p: positions(x, p), lambda p: _count(x, p)).alias("hit"))
     if stemmed:
         toks = stemmed_tokens(toks)
     counted = passages.select(id_column, F.get(F.transform(F.array(toks), measure), F.lit(0)).alias("_m")).select(id_column, F.col("_m.tf").alias("_tf"), F.col("_m.dl").alias("_dl"), F.col("_m.hit").alias("_hit"))
-    stats = counted.agg(
-        F.count(F.lit(1)).cast("double").alias("_total"),
-        F.avg("_dl").alias("_avg"),
-        F.array(*(F.coalesce(F.sum((F.get("_tf", F.lit(k)) > 0).cast("long")), F.lit(0)) for k in range(len(phrases)))).alias("_n"),
-    )
+    stats = counted.agg(F.count(F.lit(1)).cast("double").alias("_total"), F.avg("_dl").alias("_avg"), _having(len(phrases)))
+    return _best(counted, stats, len(phrases), limit, id_column)
+
+
+def _having(n: int) -> Column:
+    """In how many passages each phrase occurs."""
+    return F.array(*(F.coalesce(F.sum((F.get("_tf", F.lit(k)) > 0).cast("long")), F.lit(0)) for k in range(n))).alias("_n")
+
+
+def _best(counted: DataFrame, stats: DataFrame, n: int, limit: int, id_column: str) -> DataFrame:
     hits = counted.where("_hit").crossJoin(F.broadcast(stats))  # one row of statistics
-    tf = [F.get("_tf", F.lit(k)).cast("double") for k in range(len(phrases))]
+    tf = [F.get("_tf", F.lit(k)).cast("double") for k in range(n)]
     scored = hits.select(id_column, _score(tf, F.col("_dl"), F.col("_n"), F.col("_total"), F.col("_avg")).alias("keyword_score"))
     return scored.orderBy("keyword_score", id_column).limit(limit)
 
 
 def postings(passages: DataFrame, stemmed: bool = False, id_column: str = "passage_id") -> DataFrame:
-    """`id_column`, term, tf, positions: one row a passage and term, made within the row by grouping its own tokens."""
+    """`id_column`, term, tf, positions: one row a passage and term, made within the row by sorting its own tokens."""
     toks = t.tokens(F.col("text"))
-    rows = passages.select(id_column, F.posexplode(stemmed_tokens(toks) if stemmed else toks).alias("_at", "term"))
-    return rows.groupBy(id_column, "term").agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("_at")).alias("positions"))
+    placed = F.sort_array(F.transform(stemmed_tokens(toks) if stemmed else toks, lambda x, i: F.struct(x.alias("term"), i.alias("at"))))
+    one = lambda x, a, n: F.struct(F.get(x, a)["term"].alias("term"), n.cast("long").alias("tf"), F.transform(F.slice(x, a + 1, n), lambda p: p["at"]).alias("positions"))
+    return passages.select(id_column, F.inline(_runs(placed, lambda x: x["term"], one)))
+
+
+def _runs(values: Column, key: Callable[[Column], Column], make: Callable[[Column, Column, Column], Column]) -> Column:
+    """make(array, start, length) of each run of equal keys of a sorted array, which is bound once a row."""
+
+    def cut(x: Column) -> Column:
+        n = F.size(x)
+        places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+        starts = F.filter(places, lambda i: (i == 0) | (key(F.get(x, i)) != key(F.get(x, i - 1))))
+        pairs = F.zip_with(starts, F.concat(F.slice(starts, 2, F.greatest(F.size(starts), F.lit(1))), F.array(n)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+        return F.transform(pairs, lambda p: make(x, p["a"], p["b"] - p["a"]))
+
+    return F.flatten(F.transform(F.array(values), cut))
+
+
+def term_counts(passages: DataFrame, stemmed: bool = False) -> DataFrame:
+    """term, df (passages that have it), cf (occurrences): a passage's terms are counted in its row, and rows of terms combine within tasks."""
+    toks = t.tokens(F.col("text"))
+    ordered = F.sort_array(stemmed_tokens(toks) if stemmed else toks)
+    # Each token beside the one before it in order, so that a passage's first of each counts for df.
+    beside = F.transform(F.array(ordered), lambda x: F.arrays_zip(x.alias("term"), F.concat(F.array(F.lit("")), F.slice(x, F.lit(1), F.greatest(F.size(x) - 1, F.lit(0)))).alias("before")))
+    rows = passages.select(F.inline(F.get(beside, F.lit(0))).alias("term", "before")).where("term is not null")
+    return rows.groupBy("term").agg(F.count_if(F.col("term") != F.col("before")).alias("df"), F.count(F.lit(1)).alias("cf"))
 
 
 def lengths(passages: DataFrame, id_column: str = "passage_id") -> DataFrame:
@@ -349,33 +382,46 @@ class Index:
 
 
 def build_index(passages: DataFrame, path: str, stemmed: bool = False, id_column: str = "passage_id") -> Index:
+    """Each bucket is split by passage, so that a frequent term's postings don't meet in one task."""
     bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")
     posts = postings(passages, stemmed, id_column).withColumn("bucket", bucket)
     posts.repartition("bucket", F.pmod(F.xxhash64(id_column), F.lit(8))).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     lengths(passages, id_column).write.mode("overwrite").parquet(f"{path}/lengths")
     spark = passages.sparkSession
-    spark.read.parquet(f"{path}/lengths").agg(F.count(F.lit(1)).cast("double").alias("N"), F.avg("dl").alias("avg")).write.mode("overwrite").parquet(f"{path}/corpus")
+    spark.read.parquet(f"{path}/lengths").agg(F.count(F.lit(1)).cast("double").alias("_total"), F.avg("dl").alias("_avg")).write.mode("overwrite").parquet(f"{path}/corpus")
     return Index(path, stemmed, id_column)
 
 
 def search_index(spark, index: Index, query: str, limit: int = 20) -> DataFrame:
-    """As `search`, for queries whose parts are plain words joined by AND, from the words' buckets only."""
+    """As `search`, for the whole language, from the stored postings of the query's terms."""
     tree = parse(query, index.stemmed)
-    parts = (tree,) if isinstance(tree, Phrase) else tree.parts if isinstance(tree, Op) and tree.kind == "and" else None
-    if parts is None or any(not isinstance(p, Phrase) or len(p.terms) != 1 or p.prefix or p.first for p in parts):
-        raise QueryError("the index answers plain words joined by AND; use search for others")
-    # A word that comes twice counts twice, as two phrases do.
-    words = spark.createDataFrame([(p.terms[0],) for p in parts], "term string").groupBy("term").agg(F.count(F.lit(1)).alias("_times"))
-    wanted = sorted({p.terms[0] for p in parts})
-    buckets = [r[0] for r in words.select(F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")).distinct().collect()]
-    posts = index.table(spark, "postings").where(F.col("bucket").isin(buckets) & F.col("term").isin(wanted))
-    dfs = posts.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("_df"))
-    corpus = index.table(spark, "corpus")
-    one = posts.join(F.broadcast(dfs), "term").join(F.broadcast(words), "term").crossJoin(F.broadcast(corpus))
-    one = one.join(index.table(spark, "lengths"), index.id_column)
-    idf = F.log((F.col("N") - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
-    idf = F.when(idf > 0, idf).otherwise(FLOOR)
-    f = F.col("tf").cast("double")
-    part = F.col("_times") * idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / F.col("avg")))
-    whole = one.groupBy(index.id_column).agg(F.count(F.lit(1)).alias("_terms"), (-F.sum(part)).alias("keyword_score"))
-    return whole.where(F.col("_terms") == len(wanted)).select(index.id_column, "keyword_score").orderBy("keyword_score", index.id_column).limit(limit)
+    phrases, key = phrases_of(tree), index.id_column
+    if not phrases:
+        return index.table(spark, "lengths").select(key, F.lit(0.0).alias("keyword_score")).limit(0)
+    wanted = sorted({(x, p.prefix and j == len(p.terms) - 1) for p in phrases for j, x in enumerate(p.terms)})
+    number = {w: k for k, w in enumerate(wanted)}
+    fits = [F.col("term").startswith(x) if prefix else F.col("term") == x for x, prefix in wanted]
+    posts = index.table(spark, "postings").where(reduce(lambda a, b: a | b, fits))
+    if not any(prefix for _, prefix in wanted):
+        rows = spark.createDataFrame([(x,) for x, _ in wanted], "term string")
+        posts = posts.where(F.col("bucket").isin([r[0] for r in rows.select(F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")).distinct().collect()]))
+    none = F.array().cast("array<int>")
+    lists = posts.groupBy(key).agg(*(F.array_sort(F.flatten(F.collect_list(F.when(f, F.col("positions"))))).alias(f"_w{k}") for k, f in enumerate(fits)))
+
+    def at(p: Phrase) -> Column:
+        of = [F.col(f"_w{number[x, p.prefix and j == len(p.terms) - 1]}") for j, x in enumerate(p.terms)]
+        return F.filter(of[0], lambda i: reduce(lambda a, b: a & b, [F.array_contains(x, i + j) for j, x in enumerate(of) if j] + ([i == 0] if p.first else []), F.lit(True)))
+
+    every = any(not p.terms for p in _leaves(tree))  # a phrase without a term fits every passage
+    whole = index.table(spark, "lengths").join(lists, key, "left" if every else "inner")
+    whole = whole.select(key, "dl", *(F.coalesce(f"_w{k}", none).alias(f"_w{k}") for k in range(len(wanted))))
+    count = lambda p: F.size(at(p))
+    counted = whole.select(key, F.array(*(count(p) for p in phrases)).alias("_tf"), F.col("dl").alias("_dl"), matches(tree, at, count).alias("_hit"))
+    stats = counted.agg(_having(len(phrases))).crossJoin(F.broadcast(index.table(spark, "corpus")))  # one row each
+    return _best(counted, stats, len(phrases), limit, key)
+
+
+def _leaves(tree) -> list[Phrase]:
+    if isinstance(tree, Phrase):
+        return [tree]
+    return [p for x in (tree.phrases if isinstance(tree, Near) else tree.parts) for p in _leaves(x)]

@@ -119,6 +119,10 @@ class Store:
             return self.spark.createDataFrame([], schema)
         return rows.withColumn("bundle", F.col("bundle").cast("string")).join(F.broadcast(commits.distinct()), "bundle", "left_semi").drop("bundle")
 
+    def read_bundle(self, name: str, bundle: str) -> DataFrame:
+        """A table's rows of one bundle."""
+        return self.spark.read.parquet(f"{self.path}/{name}/bundle={bundle}")
+
 
 def ordered(table: DataFrame, kind: str) -> DataFrame:
     """A table scan in its documented order."""

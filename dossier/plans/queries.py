@@ -113,7 +113,7 @@ def dedup_content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"select term, count(distinct doc_id) as df, count(*) as cf from (select doc_id, unnest({_tokens('text')}) as term from documents) group by term")
 def term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("passage_id"), "text")
-    return lexical.term_stats(lexical.postings(docs))
+    return lexical.term_counts(docs)
 
 
 def _bm25_sql(phrases: list[str], hit: str, limit: int = 20) -> str:
@@ -349,7 +349,7 @@ found as (
 
 @query(_with(tb.FACT_SQL, _FACTS) + "select document_id, page_number, item_type, label from facts")
 def extract_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facts.extract(tb.fact_pages(spark, sf_dir)).select("document_id", "page_number", "item_type", "label")
+    return facts.extract(tb.fact_pages(spark, sf_dir), ("document_id", "page_number", "item_type", "label"))
 
 
 _FIRST = """
@@ -552,9 +552,11 @@ def profile_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """with m as (select user_id, value, ts, lag(value) over w is distinct from value or row_number() over w = 1 as new from events window w as (partition by user_id order by ts, value)),
-s as (select *, lead(ts) over (partition by user_id order by ts, value) as until from m where new)
-select cast(user_id as varchar) as path, cast(round(value * 100) as bigint)::varchar as signature, min(ts + interval 600 second) as ready_at from s where until is null or until >= ts + interval 600 second group by all""".replace("value", "v").replace("select user_id, v,", "select user_id, v,").replace("from events window", "from (select user_id, ts, cast(round(value * 100) as bigint)::varchar as v from events) window").replace("cast(round(v * 100) as bigint)::varchar as signature", "v as signature")
+    """with v as (select user_id, ts, cast(round(value * 100) as bigint)::varchar as v from events),
+m as (select user_id, v, ts, lag(v) over w is distinct from v or row_number() over w = 1 as new from v window w as (partition by user_id order by ts, v)),
+s as (select *, lead(ts) over (partition by user_id order by ts, v) as until from m where new),
+h as (select *, lag(v) over (partition by user_id order by ts, v) as told from s where until is null or until >= ts + interval 600 second)
+select cast(user_id as varchar) as path, v as signature, ts + interval 600 second as ready_at from h where told is null or told <> v"""
 )
 def debounce_stable(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Versions of a path that stayed for ten minutes, in batch form."""

@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 BATCH, TIMEOUT = 32, 30
-PORT, MODEL = 11434, "nomic-embed-text"
-ENDPOINT = f"http://127.0.0.1:{PORT}"
+MODEL = "nomic-embed-text"
+ENDPOINT = "http://127.0.0.1:11434"
 
 #: texts -> one vector a text
 Provider = Callable[[Sequence[str]], Sequence[Sequence[float]]]

@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable
-from datetime import date
+from datetime import date, datetime, timezone
 from urllib.request import Request, urlopen
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
-from dossier.sources.files import MAGIC, SourceError
+from dossier.sources.files import MAGIC, SourceError, put
 
 TIMEOUT = 30
 FIELDS = "url title meeting_date body document_type jurisdiction".split()
+LANDED = ["url", "path", "source_hash", "bytes", "retrieved_at", "error"]
 MANIFEST = ", ".join(f"{f} string" for f in FIELDS)
 
 
@@ -47,6 +49,33 @@ def download(urls: DataFrame, get: Callable[[str], tuple[bytes, str]] = fetch) -
     return urls.select("url").mapInArrow(run, "url string, name string, source_hash string, content binary")
 
 
+def land(urls: DataFrame, folder: str, get: Callable[[str], tuple[bytes, str]] = fetch) -> DataFrame:
+    """url, path, source_hash, bytes, retrieved_at, error: each PDF written to `<hash>.pdf` in a shared folder, unless it is there.
+
+    One download is held at a time, and a url that fails gets its error instead of ending the job.
+    """
+
+    def run(batches):
+        target, root = fs.FileSystem.from_uri(folder)
+        target.create_dir(root, recursive=True)
+        for b in batches:
+            for url in b.column(0).to_pylist():
+                row = [url, None, None, None, datetime.now(timezone.utc).isoformat(timespec="seconds"), None]
+                try:
+                    content, kind = get(url)
+                    if "application/pdf" not in kind.lower() and not content.startswith(MAGIC.encode()):
+                        raise SourceError(f"{url} isn't a PDF")
+                    digest = hashlib.sha256(content).hexdigest()
+                    row[1:4] = f"{root.rstrip('/')}/{digest}.pdf", digest, len(content)
+                    put(target, row[1], content)
+                except Exception as e:  # noqa: BLE001 - the error is the row's result
+                    row[1:4], row[5] = [None] * 3, str(e)
+                types = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array([v], x) for v, x in zip(row, types)], names=LANDED)
+
+    return urls.select("url").mapInArrow(run, "url string, path string, source_hash string, bytes long, retrieved_at string, error string")
+
+
 def parse_manifest(text: str) -> list[dict[str, str | None]]:
     """Rows of a YAML manifest; strict, and all or nothing."""
     import yaml
@@ -61,6 +90,7 @@ def parse_manifest(text: str) -> list[dict[str, str | None]]:
     if not isinstance(entries, list) or not entries:
         raise ManifestError("documents must be a list with entries")
     rows: list[dict[str, str | None]] = []
+    seen: set[str] = set()
     for k, entry in enumerate(entries, 1):
         if not isinstance(entry, dict):
             raise ManifestError(f"entry {k} isn't a mapping")
@@ -82,8 +112,9 @@ def parse_manifest(text: str) -> list[dict[str, str | None]]:
             row[f] = v
         if row["url"] is None:
             raise ManifestError(f"entry {k} has no url")
-        if any(row["url"] == r["url"] for r in rows):
+        if row["url"] in seen:
             raise ManifestError(f"{row['url']} comes twice")
+        seen.add(row["url"])
         rows.append(row)
     return rows
 

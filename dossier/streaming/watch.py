@@ -1,20 +1,27 @@
 """The watched folder as a stream: debounce by path, each stable (path, signature) once, then a job.
 
 Spark's file source doesn't report a file that was rewritten, so changes come from a log of
-listings: `list_changes` appends (path, signature, observed_at), and the stateful query
-reads that log. State is one small row a path, so a busy path costs what an idle one does.
+listings: `list_changes` appends (path, signature, observed_at), with a null signature for a
+file that went away, and the stateful query reads that log. State is one small row a path:
+the version that waits, and the one that was told last, which isn't told again. A busy path
+costs what an idle one does.
 """
 
 from __future__ import annotations
 
 import os
+import time
 from collections.abc import Callable, Iterator
+from datetime import datetime, timezone
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from dossier.operators.jobs import Queue
+
 CHANGE = "path string, signature string, observed_at timestamp"
 STABLE = "path string, signature string, ready_at timestamp"
 STABILITY = 1.0
@@ -30,68 +37,72 @@ def signature(path: str) -> str | None:
 
 
 def list_changes(spark: SparkSession, folders: list[str], log: str, observed_at) -> int:
-    """Append the state of all PDFs in local folders to the log; how many there were."""
+    """Append the state of all PDFs in local folders to the log, and those of the log that are gone; how many there are."""
     rows = []
     for folder in folders:
         for root, _, names in os.walk(folder):
             rows += [(p, s, observed_at) for n in sorted(names) if n.lower().endswith(".pdf") and (s := signature(p := os.path.join(root, n)))]
-    if rows:
-        spark.createDataFrame(rows, CHANGE).coalesce(1).write.mode("append").parquet(log)
+    now = spark.createDataFrame(rows, CHANGE)
+    try:
+        known = spark.read.schema(CHANGE).parquet(log).groupBy("path").agg(F.max_by("signature", "observed_at").alias("signature")).where("signature is not null")
+        now = now.unionByName(known.join(now, "path", "left_anti").select("path", F.lit(None).cast("string").alias("signature"), F.lit(observed_at).cast("timestamp").alias("observed_at")))
+    except AnalysisException:  # no log yet
+        pass
+    now.coalesce(1).write.mode("append").parquet(log)
     return len(rows)
 
 
 def stable_batch(changes: DataFrame, seconds: float = STABILITY) -> DataFrame:
-    """The batch form: path, signature, ready_at of each version that stayed unchanged for `seconds`, once a (path, signature).
+    """The batch form: path, signature, ready_at of each version that stayed unchanged for `seconds`, but for the one told last of its path.
 
-    A repeat of the same signature doesn't reset the timer. The last version of a path counts
-    as unchanged from then on.
+    A repeat of the same signature doesn't reset the timer; a null one, of a file that went
+    away, ends it. The last version of a path counts as unchanged from then on.
     """
     order = Window.partitionBy("path").orderBy("observed_at", "signature")
     marked = changes.withColumn("_new", ~F.col("signature").eqNullSafe(F.lag("signature").over(order)) | F.lag("path").over(order).isNull())
     starts = marked.where("_new")
-    until = F.lead("observed_at").over(Window.partitionBy("path").orderBy("observed_at", "signature"))
     ready = F.col("observed_at") + F.make_dt_interval(secs=F.lit(float(seconds)))
-    held = starts.withColumn("_until", until).withColumn("ready_at", ready).where("_until is null or _until >= ready_at")
-    return held.groupBy("path", "signature").agg(F.min("ready_at").alias("ready_at"))
+    held = starts.withColumn("_until", F.lead("observed_at").over(order)).withColumn("ready_at", ready).where("signature is not null and (_until is null or _until >= ready_at)")
+    told = F.lag("signature").over(order)
+    return held.withColumn("_told", told).where("_told is null or _told <> signature").select("path", "signature", "ready_at")
 
 
 def stable_stream(changes: DataFrame, seconds: float = STABILITY, watermark: str = "0 seconds") -> DataFrame:
     """The streaming form over a stream of CHANGE rows, with event-time timers; append mode."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pending, since, emitted = state.get if state.exists else (None, 0, "")
-        done = set(filter(None, emitted.split("\n")))
+        pending, since, told = state.get if state.exists else (None, 0, None)
         out: list[tuple[str, str, pd.Timestamp]] = []
         wait = int(seconds * 1000)
 
         def settle(now: int) -> None:
-            nonlocal pending
+            nonlocal pending, told
             if pending is not None and now >= since + wait:
-                if pending not in done:
-                    done.add(pending)
+                if pending != told:
+                    told = pending
                     out.append((key[0], pending, pd.Timestamp(since + wait, unit="ms")))
                 pending = None
 
-        last = None
         if state.hasTimedOut:
             settle(since + wait)
         else:
             rows = pd.concat(list(batches)).sort_values(["observed_at", "signature"])
+            current = pending or told
             for sig, at in zip(rows["signature"], rows["observed_at"]):
                 now = int(pd.Timestamp(at).value // 1_000_000)
                 settle(now)
-                if sig != pending and sig not in done:
-                    pending, since = sig, now
-                last = now
-        state.update((pending, since, "\n".join(sorted(done))))
+                if sig is None:
+                    pending = current = None
+                elif sig != current:
+                    pending, since, current = sig, now, sig
+        state.update((pending, since, told))
         if pending is not None:
             state.setTimeoutTimestamp(max(since + wait, state.getCurrentWatermarkMs() + 1))
-        del last
         if out:
             yield pd.DataFrame(out, columns=["path", "signature", "ready_at"])
 
     rows = changes.withWatermark("observed_at", watermark)
-    return rows.groupBy("path").applyInPandasWithState(step, STABLE, "pending string, since long, emitted string", "append", GroupStateTimeout.EventTimeTimeout)
+    return rows.groupBy("path").applyInPandasWithState(step, STABLE, "pending string, since long, told string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def matching_watch(paths: DataFrame, watches: DataFrame) -> DataFrame:
@@ -103,14 +114,37 @@ def matching_watch(paths: DataFrame, watches: DataFrame) -> DataFrame:
     return found.groupBy("path").agg(F.min_by(F.struct("watch_id", "folder"), F.struct("created_at", "watch_id")).alias("_w")).select("path", "_w.*")
 
 
-def enqueue_stable(stable: DataFrame, enqueue: Callable[[str, list[str]], object], checkpoint: str, kind: str = "ingest_pdf"):
-    """Start a query that makes one job a stable version."""
-    import json
+def job_rows(stable: DataFrame, watches: DataFrame | None = None) -> DataFrame:
+    """job_key and payload_json of stable versions, one a (path, signature, ready_at), with the metadata of the watch that holds the path."""
+    rows = stable
+    if watches is not None:
+        rows = rows.join(matching_watch(stable.select("path").distinct(), watches.withColumn("folder", F.col("path"))), "path", "left").join(watches.select("watch_id", "metadata_json"), "watch_id", "left")
+    else:
+        rows = rows.withColumns({"watch_id": F.lit(None).cast("string"), "metadata_json": F.lit(None).cast("string")})
+    meta = F.from_json(F.coalesce("metadata_json", F.lit("{}")), "map<string,string>")
+    payload = F.to_json(F.struct(meta.alias("metadata"), "path", "signature", F.lit("watch").alias("source"), "watch_id"))
+    return rows.select(F.concat_ws("|", "path", "signature", F.col("ready_at").cast("string")).alias("job_key"), payload.alias("payload_json"))
 
-    def each(batch: DataFrame, _: int) -> None:
-        rows = batch.orderBy("path", "signature").toLocalIterator()
-        payloads = [json.dumps({"path": r["path"], "signature": r["signature"]}, sort_keys=True) for r in rows]
-        if payloads:
-            enqueue(kind, payloads)
 
-    return stable.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+def enqueue_stable(stable: DataFrame, queue: Queue, checkpoint: str, kind: str = "ingest_pdf", watches: DataFrame | None = None, every: str | None = None):
+    """Start a query that makes one job a stable version, also when a batch is replayed; for ever at an interval, or once over what is there."""
+
+    def each(batch: DataFrame, _: int) -> None:
+        queue.enqueue_frame(kind, job_rows(batch, watches))
+
+    writer = stable.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).outputMode("append")
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+def watch_loop(spark: SparkSession, folders: list[str], log: str, checkpoint: str, queue: Queue, seconds: float = STABILITY, pause: float = 1.0, max_loops: int | None = None, clock: Callable[[], datetime] | None = None) -> int:
+    """List, settle and enqueue again and again; the number of loops."""
+    clock = clock or (lambda: datetime.now(timezone.utc).replace(tzinfo=None))
+    loops = 0
+    while max_loops is None or loops < max_loops:
+        list_changes(spark, folders, log, clock())
+        changes = spark.readStream.schema(CHANGE).parquet(log)
+        enqueue_stable(stable_stream(changes, seconds), queue, checkpoint).awaitTermination()
+        loops += 1
+        if max_loops is None or loops < max_loops:
+            time.sleep(pause)
+    return loops

@@ -1,11 +1,16 @@
 """Every registered query that has SQL gives the SQL's rows."""
 
+import importlib.util
 import math
+import sys
 
 import duckdb
 import pytest
 
-from dossier.plans import queries as core
+from dossier.plans import passages, queries, records
+
+CORE = queries.QUERIES | records.QUERIES
+SQL = queries.ORACLES | records.ORACLES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -29,10 +34,10 @@ def rows(records, names):
     return sorted((tuple(str(plain(r[n])) for n in names) for r in records))
 
 
-@pytest.mark.parametrize("name", list(core.QUERIES))
+@pytest.mark.parametrize("name", list(CORE))
 def test_query_gives_the_rows_of_its_sql(spark, con, name):
-    got = core.QUERIES[name](spark, SF)
-    want = con.sql(core.ORACLES[name])
+    got = CORE[name](spark, SF)
+    want = con.sql(SQL[name])
     names = sorted(got.columns)
     assert names == sorted(want.columns)
     found = [dict(zip(want.columns, r)) for r in want.fetchall()]
@@ -42,13 +47,21 @@ def test_query_gives_the_rows_of_its_sql(spark, con, name):
 def test_entry_lists_queries_with_or_without_the_subpackage(monkeypatch):
     import __spark_entry__ as e
 
-    assert set(core.QUERIES) <= set(e.queries())
-    assert set(e.oracle_sql()) <= set(e.queries())
-    monkeypatch.setattr(e, "_there", lambda name: False)
-    assert set(e.queries()) == set(core.QUERIES)
+    alone = set(CORE) | set(passages.QUERIES)
+    assert alone <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
+    for gone in ("dossier.llm", "ahocorasick"):  # the subpackage itself, or something that it imports
+        with monkeypatch.context() as m:
+            for name in [x for x in sys.modules if x == "corpus_pipeline" or x.startswith("dossier.llm")]:
+                m.delitem(sys.modules, name)
+            m.setitem(sys.modules, gone, None)
+            if gone == "ahocorasick" and importlib.util.find_spec("dossier.llm"):
+                with pytest.warns(UserWarning, match="ahocorasick"):
+                    assert set(e.queries()) == alone
+            else:
+                assert set(e.queries()) == alone
 
 
 def test_entry_runs(spark):
     import __spark_entry__ as e
 
-    assert e.entry(spark).columns == ["document_id", "citation", "keyword_score"]
+    assert e.entry(spark).count() == 10
