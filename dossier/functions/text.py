@@ -77,10 +77,11 @@ def fold_text(text: str) -> str:
 def casefold(c: Column) -> Column:
     """Equal for strings that are equal under Unicode's full case folding, inside the JVM: ß and SS, ς and Σ, ſ and S.
 
-    Dotless ı, whose upper case is I, stands aside meanwhile.
+    Dotless ı, whose upper case is I, stands aside meanwhile; its return also keeps the
+    optimizer from taking the lower case of an upper case for the lower case itself.
     """
     kept = F.translate(F.lower(c), "ı", "\uf8fe")
-    full = F.translate(F.lower(F.upper(kept)), "ς\uf8fe", "σı")
+    full = F.translate(F.lower(F.translate(F.upper(kept), "\uf8fe", "ı")), "ς", "σ")
     return F.when(c.rlike(r"[^\x00-\x7f]"), full).otherwise(F.lower(c))
 
 

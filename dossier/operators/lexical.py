@@ -345,7 +345,7 @@ def _runs(values: Column, key: Callable[[Column], Column], make: Callable[[Colum
         places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
         starts = F.filter(places, lambda i: (i == 0) | (key(F.get(x, i)) != key(F.get(x, i - 1))))
         pairs = F.zip_with(starts, F.concat(F.slice(starts, 2, F.greatest(F.size(starts), F.lit(1))), F.array(n)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-        return F.transform(pairs, lambda p: make(x, p["a"], p["b"] - p["a"]))
+        return F.transform(F.filter(pairs, lambda p: p["a"].isNotNull()), lambda p: make(x, p["a"], p["b"] - p["a"]))
 
     return F.flatten(F.transform(F.array(values), cut))
 

@@ -118,7 +118,7 @@ def job_rows(stable: DataFrame, watches: DataFrame | None = None) -> DataFrame:
     """job_key and payload_json of stable versions, one a (path, signature, ready_at), with the metadata of the watch that holds the path."""
     rows = stable
     if watches is not None:
-        rows = rows.join(matching_watch(stable.select("path").distinct(), watches.withColumn("folder", F.col("path"))), "path", "left").join(watches.select("watch_id", "metadata_json"), "watch_id", "left")
+        rows = rows.join(matching_watch(stable.select("path").distinct(), watches.select("watch_id", F.col("path").alias("folder"), "created_at")), "path", "left").join(watches.select("watch_id", "metadata_json"), "watch_id", "left")
     else:
         rows = rows.withColumns({"watch_id": F.lit(None).cast("string"), "metadata_json": F.lit(None).cast("string")})
     meta = F.from_json(F.coalesce("metadata_json", F.lit("{}")), "map<string,string>")

@@ -211,16 +211,13 @@ def test_debounce_batch(spark):
 
 def test_debounce_stream(spark, tmp_path):
     log, checkpoint = str(tmp_path / "log"), str(tmp_path / "check")
-    seen: list[tuple[str, str]] = []
-
-    def enqueue(kind, payloads):
-        seen.extend((json.loads(p)["path"], json.loads(p)["signature"]) for p in payloads)
-
+    queue = jobs.Queue(spark, str(tmp_path / "jobs"))
     for part in (DEBOUNCE[:4], DEBOUNCE[4:], changes(("y", "1", 300)), changes(("y", "1", 400), ("a", "1", 400))):
         spark.createDataFrame(part, watch.CHANGE).coalesce(1).write.mode("append").parquet(log)
         stream = watch.stable_stream(spark.readStream.schema(watch.CHANGE).parquet(log), 5)
-        watch.enqueue_stable(stream, enqueue, checkpoint).awaitTermination(120)
-    assert sorted(seen) == [("a", "1"), ("b", "2"), ("c", "1"), ("y", "1"), ("z", "9")]
+        watch.enqueue_stable(stream, queue, checkpoint).awaitTermination(120)
+    seen = [json.loads(r["payload_json"]) for r in queue.jobs().collect()]
+    assert sorted((x["path"], x["signature"]) for x in seen) == [("a", "1"), ("b", "2"), ("c", "1"), ("y", "1"), ("z", "9")]
 
 
 def test_listing_sees_rewritten_files(spark, tmp_path):
