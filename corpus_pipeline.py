@@ -1,4 +1,13 @@
-"""The corpus pipeline: quality, near-duplicates, secrets, mixing, tokens, one operator a stage."""
+"""The corpus pipeline: quality, near-duplicates, secrets, mixing, tokens, one operator a stage.
+
+Defined cases, for each stage as for its operator: null and empty texts are scored like any
+other and, if kept, link as near duplicates of each other, hold no secret, count no token and
+encode to no id. Rows without a doc_id pass the near-duplicate stage, and share one fate in
+mixing. Of repeated rows the near-duplicate stage keeps one; of different texts with one doc_id
+the smallest. Ties don't arise: thresholds include their value, groups keep their smallest
+doc_id. Very long texts are handled whole. All columns but those that a stage is about stay,
+whatever their names. Empty tables give empty tables; without usable labels all are kept.
+"""
 
 from __future__ import annotations
 
