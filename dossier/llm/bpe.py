@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 import unicodedata
 from array import array
 from collections.abc import Iterator
@@ -40,11 +41,14 @@ from dossier.llm import textbatch as tb
 from dossier.llm import unicode_tables
 
 END = "</w>"
-#: Pieces whose encodings a worker keeps; beyond it starts anew, which changes no result.
-CACHE_PIECES = 1_000_000
+#: Bytes of pieces and their encodings that a worker keeps, with ENTRY_BYTES of the table for each, and pairs of tokens of
+#: which it keeps whether they fit. Beyond it starts anew, which changes no result.
+CACHE_BYTES, ENTRY_BYTES, CACHE_PAIRS = 48 << 20, 80, 1 << 18
 
 #: Characters of a text, and ids of a sequence, that are handled at once.
 PART_CHARS, PART_IDS = 1 << 20, 1 << 18
+#: Bytes of text whose code points, pieces and ids are held at once.
+BLOCK_BYTES = tb.BLOCK_BYTES // 2
 
 _BARRIER = re.compile("([" + unicode_tables.barriers() + "])")
 _LOWER = unicode_tables.lower()
@@ -104,7 +108,7 @@ class Vocabulary:
         """Whether merging by rank leaves these two tokens side by side."""
         known = self.compatible.get(left << 32 | right)
         if known is None:
-            if len(self.compatible) > 4 * CACHE_PIECES:
+            if len(self.compatible) >= CACHE_PAIRS:
                 self.compatible.clear()
             known = self.compatible[left << 32 | right] = self._fits(left, right)
         return known
@@ -227,13 +231,16 @@ class Encoder(dict):
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
         self.vocabulary = vocabulary
+        self.held = 0
         self.marks = re.compile("(" + "|".join(map(re.escape, vocabulary.special)) + ")") if vocabulary.special else None
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) > CACHE_PIECES:
-            self.clear()
         ids = array("I", self.vocabulary.encode_piece(piece)).tobytes()
         if len(piece) < 64:
+            self.held += ENTRY_BYTES + sys.getsizeof(piece) + sys.getsizeof(ids)
+            if self.held > CACHE_BYTES:
+                self.clear()
+                self.held = ENTRY_BYTES + sys.getsizeof(piece) + sys.getsizeof(ids)
             self[piece] = ids
         return ids
 
@@ -321,7 +328,7 @@ def _texts(t: tb.Texts) -> list[str]:
 def _encoded(documents: DataFrame, path: str, decoded: bool) -> DataFrame:
     def run(batches):
         enc, dec = _tools(path)
-        for batch, t in tb.blocks(batches, "text"):
+        for batch, t in tb.blocks(batches, "text", BLOCK_BYTES):
             ids = enc.encode_all(_texts(t))
             out = {"n_tokens": pa.array([len(x) for x in ids], pa.int64()), "ids": pa.array([x.tobytes() for x in ids], pa.binary())}
             if decoded:

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import sys
 import unicodedata
 import zlib
 
@@ -118,6 +119,37 @@ def test_pieces_of_a_long_text_give_what_the_whole_gives(monkeypatch, rules, gra
     assert all_of(block_of([text])) == want
 
 
+def test_what_a_worker_keeps_of_encodings_is_bounded_in_bytes():
+    class Plain(bpe.Vocabulary):
+        def __init__(self):
+            self.special, self.compatible = {}, {}
+
+        def encode_piece(self, piece):
+            return [7] * 100
+
+        def _fits(self, a, b):
+            return True
+
+    encoder = bpe.Encoder(Plain())
+    for k in range(250_000):
+        assert len(encoder[f"{k:06d}" + "日" * 50]) == 400
+    assert sys.getsizeof(encoder) + sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in encoder.items()) < 64 << 20
+    assert all(encoder.vocabulary.fits(1, k) for k in range(1_000_000))
+    known = encoder.vocabulary.compatible
+    assert sys.getsizeof(known) + sum(map(sys.getsizeof, known)) < 32 << 20
+
+
+def test_dropping_what_is_kept_changes_no_encoding(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    lib, texts = Tokenizer.from_file(path), [*samples(), "unhappily untied knots " * 40]
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 1000)
+    monkeypatch.setattr(bpe, "CACHE_PAIRS", 9)
+    encoder = bpe.Encoder(bpe.Vocabulary(path))
+    got = [encoder.encode_all([x])[0].tolist() for x in texts]
+    assert got == [lib.encode(x, add_special_tokens=False).ids for x in texts]
+    assert encoder.held <= 1000 and len(encoder.vocabulary.compatible) <= 9
+
+
 def test_training_rows_go_by_hash_up_to_both_bounds(spark):
     texts = [(k, "x" * (k % 50 + 1)) for k in range(300)] + [(7, "another"), (7, "a"), (1000, "y" * 500)]
     documents = spark.createDataFrame(texts, "doc_id long, text string")
