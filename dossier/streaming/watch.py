@@ -106,12 +106,18 @@ def stable_stream(changes: DataFrame, seconds: float = STABILITY, watermark: str
 
 
 def matching_watch(paths: DataFrame, watches: DataFrame) -> DataFrame:
-    """path and the first watch (created_at, watch_id) whose folder holds it. Registered folders are few; each path's own prefixes are looked up, without a theta join."""
+    """path and the first watch (created_at, watch_id) whose folder holds it.
+
+    Each path's own prefixes are looked up, without a theta join, among folders that were
+    reduced to their first watch before: many watches of one folder don't multiply its paths.
+    """
     parts = F.split("path", "/")
     prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    first = F.min_by(F.struct("watch_id", "folder", "created_at"), F.struct("created_at", "watch_id"))
+    folders = watches.groupBy(F.rtrim(F.col("folder"), F.lit("/")).alias("_prefix")).agg(first.alias("_w"))
     probe = paths.select("path", F.explode(F.array_distinct(prefixes)).alias("_prefix"))
-    found = probe.join(watches.withColumn("_prefix", F.rtrim(F.col("folder"), F.lit("/"))), "_prefix")
-    return found.groupBy("path").agg(F.min_by(F.struct("watch_id", "folder"), F.struct("created_at", "watch_id")).alias("_w")).select("path", "_w.*")
+    found = probe.join(folders, "_prefix")
+    return found.groupBy("path").agg(F.min_by(F.struct("_w.watch_id", "_w.folder"), F.struct("_w.created_at", "_w.watch_id")).alias("_w")).select("path", "_w.*")
 
 
 def job_rows(stable: DataFrame, watches: DataFrame | None = None) -> DataFrame:
