@@ -4,7 +4,9 @@ Nine rules give typed items with a quote each. Rules are Unicode-aware regular e
 whose match offsets decide the quote, which built-in functions don't return, so pages pass
 through Python in Arrow batches; a page's rules run only if a cheap test finds their mark.
 `seq` numbers a page's facts in rule order; of facts with one key the first by (page, seq)
-is kept.
+is kept. `first_facts` shuffles pages by document before it reads them and drops repeats as
+it makes them, as pages are a tenth of their facts' rows; `first_of_key` takes facts that are
+there already.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from __future__ import annotations
 import calendar
 import json
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Collection, Iterator, Sequence
 from datetime import date
 
 import numpy as np
@@ -130,8 +132,13 @@ def _unquoted(text: str, first: int, last: int) -> str:
     return ""
 
 
-def facts_of(text: str, quotes: bool = True) -> Iterator[tuple[str, str, tuple[str, str], str, str]]:
-    """(item_type, label, key and value, summary, quote) in rule order, repeats included. Without `quotes` most stay empty."""
+KINDS = frozenset(CONFIDENCE)
+#: Kinds of which one is kept a document, not one a page and quote.
+WIDE = frozenset(("entity", "topic"))
+
+
+def facts_of(text: str, quotes: bool = True, kinds: Collection[str] = KINDS) -> Iterator[tuple[str, str, tuple[str, str], str, str]]:
+    """(item_type, label, key and value, summary, quote) in rule order, repeats included. Without `quotes` most stay empty. Rules of other kinds don't run."""
     if not text.strip():
         return
     seen = "{} appears in document text.".format
@@ -152,12 +159,12 @@ def facts_of(text: str, quotes: bool = True) -> Iterator[tuple[str, str, tuple[s
         (may("ordinance", "resolution"), "civic_identifier", "identifier", IDENTIFIER),
     )
     for there, kind, key, pattern in rules:
-        for m in pattern.finditer(text) if there else ():
+        for m in pattern.finditer(text) if there and kind in kinds else ():
             label = _one(m[0].rstrip(".,;:"))
             if label and (kind != "date" or real_date(label)):
                 yield kind, label, (key, label), seen(label), quote(text, *m.span())
     # DEADLINE sees collapsed sentences: its marks are single words, as blanks may still be irregular here.
-    due, acted = may("due", "deadline", "later", "by"), may(*ACTIONS)
+    due, acted = "deadline" in kinds and may("due", "deadline", "later", "by"), "action" in kinds and may(*ACTIONS)
     for m in SENTENCE.finditer(text) if due or acted else ():
         s = _one(m[0])
         if len(s) < SENTENCE_CHARS:
@@ -170,7 +177,7 @@ def facts_of(text: str, quotes: bool = True) -> Iterator[tuple[str, str, tuple[s
         if acted and (verb := (ACTION if odd else _ACTION_LOW).search(small)):
             yield "action", verb[0].lower(), ("verb", verb[0].lower()), "Action or vote language appears in document text.", s
     aligned = len(low) == len(text) and not odd
-    for topic, words in _BY_NAME:
+    for topic, words in _BY_NAME if "topic" in kinds else ():
         for word in words:
             at = _word_at(low, word)
             if at < 0:
@@ -179,7 +186,7 @@ def facts_of(text: str, quotes: bool = True) -> Iterator[tuple[str, str, tuple[s
             span = (at, at + len(word)) if aligned else m.span() if m else None
             yield "topic", topic, ("keyword", word), f"Topic candidate from keyword '{word}'.", quote(text, *span) if span else short(text)
             break
-    for m in ENTITY.finditer(text):
+    for m in ENTITY.finditer(text) if "entity" in kinds else ():
         label = _one(m[0].strip("[]().,:;"))
         if is_entity(label):
             yield "entity", label, ("name", label), "Entity candidate from capitalized phrase.", quote(text, *m.span())
@@ -190,48 +197,118 @@ _TYPES = dict(zip(FIELDS, (pa.string(), pa.int64(), pa.int32(), pa.string(), pa.
 _QUOTED = json.encoder.encode_basestring
 
 
-def extract(pages: DataFrame, columns: Sequence[str] = FIELDS) -> DataFrame:
-    """All facts of pages (document_id, page_number, text), repeats included. Null and blank pages give none.
+class _Firsts:
+    """The first fact of each key, of pages that come in the order of document and page number.
 
-    Only the named columns are made: what the caller drops costs nothing.
+    It holds the labels of one document's wide kinds, and what tells one page's other facts
+    apart: their quotes, which are made only where a page repeats a label.
     """
+
+    def __init__(self, quotes: bool, kinds: Collection[str]):
+        self.quotes, self.kinds = quotes, kinds
+        self.document, self.page = object(), object()
+        self.wide: set[tuple[str, str]] = set()
+        self.narrow: set[tuple[str, str, str]] | None = None
+        self.texts: list[str] = []
+
+    def of(self, document: str | None, page: int | None, text: str) -> Iterator[tuple[int, tuple]]:
+        """seq and fact."""
+        if document != self.document:
+            self.document, self.page, self.wide = document, object(), set()
+        if page != self.page:
+            self.page, self.texts, self.narrow = page, [], None
+        plain = not self.quotes and not self.texts
+        found = list(facts_of(text, not plain, self.kinds))
+        if plain:
+            keys = [(f[0], f[1].casefold()) for f in found if f[0] not in WIDE]
+            if len(set(keys)) < len(keys):
+                plain, found = False, list(facts_of(text, True, self.kinds))
+        if not plain and self.narrow is None:
+            self.narrow = {(f[0], f[1].casefold(), f[4].casefold()) for x in self.texts for f in facts_of(x, True, self.kinds) if f[0] not in WIDE}
+        self.texts.append(text)
+        for seq, f in enumerate(found):
+            if f[0] in WIDE:
+                key, seen = (f[0], f[1].casefold()), self.wide
+            elif plain:
+                yield seq, f
+                continue
+            else:
+                key, seen = (f[0], f[1].casefold(), f[4].casefold()), self.narrow
+            if key not in seen:
+                seen.add(key)
+                yield seq, f
+
+
+def _made(columns: Sequence[str], kinds: Collection[str], first: bool):
+    """The function of Arrow batches (document_id, page_number, text) that makes the columns of their facts."""
     quotes = "quote" in columns
 
     def run(batches):
+        firsts = _Firsts(quotes, kinds) if first else None
         for b in batches:
             for at in range(0, b.num_rows, 2000):
                 part = b.slice(at, 2000)
                 made: list[tuple] = []
                 size, seq = [], []
-                for text in part.column(2).to_pylist():
+                texts = part.column(2).to_pylist()
+                for row in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), texts) if first else texts:
                     before = len(made)
-                    made.extend(facts_of(text or "", quotes))
+                    if first:
+                        for k, fact in firsts.of(row[0], row[1], row[2] or ""):
+                            seq.append(k)
+                            made.append(fact)
+                    else:
+                        made.extend(facts_of(row or "", quotes, kinds))
+                        seq.extend(range(len(made) - before))
                     size.append(len(made) - before)
-                    seq.extend(range(size[-1]))
                 page = pa.array(np.repeat(np.arange(part.num_rows), size))
-                kinds, labels, values, summaries, quoted = zip(*made) if made else ((),) * 5
+                kind, labels, values, summaries, quoted = zip(*made) if made else ((),) * 5
                 make = {
                     "document_id": lambda: part.column(0).take(page),
                     "page_number": lambda: part.column(1).take(page),
                     "seq": lambda: seq,
-                    "item_type": lambda: kinds,
+                    "item_type": lambda: kind,
                     "label": lambda: labels,
                     "value_json": lambda: [f'{{"{k}": {_QUOTED(v)}}}' for k, v in values],
                     "summary": lambda: summaries,
-                    "confidence": lambda: [CONFIDENCE[k] for k in kinds],
+                    "confidence": lambda: [CONFIDENCE[k] for k in kind],
                     "quote": lambda: quoted,
                 }
                 arrays = [make[c]() for c in columns]
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, _TYPES[c]) for c, x in zip(columns, arrays)], names=list(columns))
 
+    return run
+
+
+def _extracted(pages: DataFrame, columns: Sequence[str], kinds: Collection[str], first: bool) -> DataFrame:
     schema = ", ".join(x for x in FACT.split(", ") if x.split()[0] in columns)
-    columns = [c for c in FIELDS if c in columns]
-    return pages.select(F.col("document_id").cast("string").alias("document_id"), F.col("page_number").cast("long").alias("page_number"), "text").mapInArrow(run, schema)
+    rows = pages.select(F.col("document_id").cast("string").alias("document_id"), F.col("page_number").cast("long").alias("page_number"), "text")
+    if first:
+        rows = rows.repartition("document_id").sortWithinPartitions("document_id", "page_number")
+    return rows.mapInArrow(_made([c for c in FIELDS if c in columns], frozenset(kinds), first), schema)
+
+
+def extract(pages: DataFrame, columns: Sequence[str] = FIELDS, kinds: Collection[str] = KINDS) -> DataFrame:
+    """All facts of pages (document_id, page_number, text), repeats included. Null and blank pages give none.
+
+    Only the named columns and kinds are made: what the caller drops costs nothing. `seq`
+    numbers a page's facts of these kinds.
+    """
+    return _extracted(pages, columns, kinds, False)
+
+
+def first_facts(pages: DataFrame, columns: Sequence[str] = FIELDS, kinds: Collection[str] = KINDS) -> DataFrame:
+    """`first_of_key` of all facts of pages, of the named columns and kinds.
+
+    A document's pages are read in order by one task, so only pages are shuffled and no fact
+    is compared with those of other documents.
+    """
+    return _extracted(pages, columns, kinds, True)
 
 
 def fact_key() -> list[Column]:
     """Entities and topics are one a document; others one a page and quote. Case doesn't count."""
-    wide = F.col("item_type").isin("entity", "topic")
+    wide = F.col("item_type").isin(*sorted(WIDE))
     return [F.col("item_type").alias("key_type"), t.casefold(F.col("label")).alias("key_label"), F.when(wide, F.lit(0).cast("long")).otherwise(F.col("page_number")).alias("key_page"), F.when(wide, "").otherwise(t.casefold(F.col("quote"))).alias("key_quote")]
 
 

@@ -2,8 +2,12 @@
 
 from pyspark.sql import functions as F
 
+from dossier.operators import briefs, browse, facts
+from dossier.plans import queries
 from dossier.streaming import watch
 
+SF = "/root/testdata/sf0.001"
+
 
 def plan(df, kind="optimizedPlan"):
     return getattr(df._jdf.queryExecution(), kind)().toString()
@@ -16,3 +20,29 @@ def test_many_watches_of_one_folder_meet_its_paths_once(spark):
     got = watch.matching_watch(paths, watches)
     assert {r["path"]: (r["watch_id"], r["folder"]) for r in got.collect()} == {"/in/a/1.pdf": (299, "/in/a/"), "/in/a/b/2.pdf": (299, "/in/a/"), "/in/a/b/c.pdf": (901, "/in/a/b/c.pdf"), "/in/x.pdf": (902, "/")}
     assert plan(got).count("Aggregate [") == 2  # folders are reduced to one row each before they meet paths
+
+
+PAGES = "document_id string, page_number long, text string"
+TEXT = "Council approved a $250,000 contract with ABC Construction. Work must begin by June 1, 2026 and is 95% funded. See https://example.test/plan."
+
+
+def pages(spark):
+    rows = [("d", k, f"{TEXT} Paid $1.2 million. Paid $1.2 Million. PAID $1.2 million. The Straße Board met on item {k % 3}.") for k in range(6)]
+    rows += [("e", k, t) for k, t in ((2, TEXT.upper()), (1, TEXT), (1, TEXT + " Paid $7."), (1, TEXT), (3, None), (4, " "), (None, TEXT), (None, TEXT))]
+    return spark.createDataFrame([*rows, (None, 1, TEXT), (None, 1, TEXT), ("f", 9, "We saw the STRASSE BOARD. " + TEXT)], PAGES)
+
+
+def shuffled_by(df):
+    return [x for x in plan(df).splitlines() if "Repartition" in x or "Aggregate" in x or "Window" in x]
+
+
+def test_first_facts_are_those_of_the_aggregate(spark):
+    same = ["document_id", "page_number", "item_type", "label"]
+    every = facts.first_of_key(facts.extract(pages(spark)))
+    for columns in (facts.FIELDS, (*same, "seq"), same):
+        got = facts.first_facts(pages(spark), columns)
+        assert sorted(map(str, got.collect())) == sorted(map(str, every.select(*got.columns).collect()))
+        assert len(shuffled_by(got)) == 1  # pages are shuffled, not facts
+    for kinds in (("topic",), ("date", "deadline", "action"), ("money", "entity")):
+        got = facts.first_facts(pages(spark), same, kinds)
+        assert sorted(map(str, got.collect())) == sorted(map(str, every.where(F.col("item_type").isin(*kinds)).select(*got.columns).collect()))
