@@ -322,9 +322,34 @@ def first_of_key(facts: DataFrame) -> DataFrame:
     return keyed.groupBy(*KEY).agg(F.min_by(F.struct(*columns), F.struct(F.col("page_number"), F.col("seq"))).alias("_row")).select("_row.*")
 
 
+#: What tells facts apart in joins: the key's text as half of its SHA-256, so that no quotes are shuffled.
+SHORT_KEY = ["document_id", "key_type", "key_digest"]
+
+
+def _short_key() -> list[Column]:
+    kind, label, page, quote = fact_key()
+    text = F.concat(F.length(label).cast("string"), F.lit(":"), label, F.coalesce(page.cast("string"), F.lit("-")), F.lit(":"), quote)
+    return [kind, F.substring(F.unhex(F.sha2(text, 256)), 1, 16).alias("key_digest")]
+
+
 def new_facts(facts: DataFrame, existing: DataFrame) -> DataFrame:
-    """Facts whose key `existing` (the same columns) lacks."""
-    return facts.select("*", *fact_key()).join(existing.select("document_id", *fact_key()).distinct(), KEY, "left_anti").select(*facts.columns)
+    """Facts whose key `existing` (the same columns) lacks. Neither side is broadcast, as `persist_counts` says."""
+    keys = existing.select("document_id", *_short_key()).distinct()
+    return facts.select("*", *_short_key()).join(keys.hint("merge"), SHORT_KEY, "left_anti").select(*facts.columns)
+
+
+def persist_counts(facts: DataFrame, existing: DataFrame) -> DataFrame:
+    """document_id, extracted, created, skipped of an incremental run.
+
+    The keys of both are shuffled and counted together, without a join: the optimizer would
+    take their sizes from the files behind the pages, and might send them to the driver.
+    """
+    keys = facts.select("document_id", *_short_key(), F.lit(1).alias("_new"), F.lit(0).alias("_old"))
+    old = existing.select("document_id", *_short_key(), F.lit(0).alias("_new"), F.lit(1).alias("_old"))
+    each = keys.unionByName(old).groupBy(*SHORT_KEY).agg(F.sum("_new").alias("_new"), F.max("_old").alias("_old")).where("_new > 0")
+    skipped = F.coalesce(F.sum(F.when(F.col("_old") > 0, F.col("_new"))), F.lit(0))
+    counted = each.groupBy("document_id").agg(F.sum("_new").alias("extracted"), skipped.alias("skipped"))
+    return counted.select("document_id", "extracted", (F.col("extracted") - F.col("skipped")).alias("created"), "skipped")
 
 
 def items_of(facts: DataFrame, created_at: Column | None = None) -> tuple[DataFrame, DataFrame]:
@@ -335,10 +360,3 @@ def items_of(facts: DataFrame, created_at: Column | None = None) -> tuple[DataFr
     items = facts.select(item.alias("item_id"), "document_id", "item_type", "label", "value_json", "summary", "confidence", F.lit(EXTRACTOR).alias("extractor"), F.lit(PROVIDER).alias("provider"), F.lit(MODEL).alias("model"), now.alias("created_at"))
     evidence = facts.select(F.concat(item, F.lit("-1")).alias("evidence_id"), item.alias("item_id"), "document_id", F.col("page_number").alias("page_start"), F.col("page_number").alias("page_end"), "quote", F.lit(VALIDATED).alias("validation_status"))
     return items, evidence
-
-
-def persist_counts(facts: DataFrame, existing: DataFrame) -> DataFrame:
-    """document_id, extracted, created, skipped of an incremental run."""
-    keys = existing.select("document_id", *fact_key()).distinct().withColumn("_old", F.lit(1))
-    joined = facts.select("document_id", *fact_key()).join(keys, KEY, "left")
-    return joined.groupBy("document_id").agg(F.count(F.lit(1)).alias("extracted"), F.count_if(F.col("_old").isNull()).alias("created"), F.count("_old").alias("skipped"))

@@ -46,3 +46,16 @@ def test_first_facts_are_those_of_the_aggregate(spark):
     for kinds in (("topic",), ("date", "deadline", "action"), ("money", "entity")):
         got = facts.first_facts(pages(spark), same, kinds)
         assert sorted(map(str, got.collect())) == sorted(map(str, every.where(F.col("item_type").isin(*kinds)).select(*got.columns).collect()))
+
+
+def test_keys_of_facts_are_counted_without_a_join(spark):
+    found = facts.first_facts(pages(spark))
+    old = facts.first_facts(pages(spark).where("page_number % 2 = 0"))
+    got = facts.persist_counts(found, old)
+    keys = lambda x: x.select("document_id", *facts.fact_key())
+    both = keys(found).join(keys(old).distinct().withColumn("old", F.lit(1)), facts.KEY, "left").where("document_id is not null")
+    want = both.groupBy("document_id").agg(F.count(F.lit(1)).alias("extracted"), F.count_if(F.col("old").isNull()).alias("created"), F.count("old").alias("skipped"))
+    assert sorted(map(tuple, got.where("document_id is not null").collect())) == sorted(map(tuple, want.collect()))
+    assert "Join" not in plan(got)
+    assert facts.new_facts(found, old).where("document_id is not null").count() == both.where("old is null").count()
+    assert "Broadcast" not in plan(facts.new_facts(found, old), "executedPlan")
