@@ -151,10 +151,19 @@ def browse(items: DataFrame, documents: DataFrame, item_types: tuple[str, ...],
     return page.crossJoin(F.broadcast(total)).select(place, "item_id", "document_id", "item_type", "label", "summary", "confidence", shown_date.alias("display_date"), "title", "meeting_date", best_source().alias("source"), "total").orderBy("place")
 
 
+def nested(evidence: DataFrame, *key: str) -> DataFrame:
+    """The key's columns and `evidence`, its rows in order of page and id."""
+    return evidence.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("page_start", "evidence_id", "page_end", "quote"))).alias("evidence"))
+
+
 def with_evidence(items: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Items with their evidence, nested in order of page and id; items without have an empty array."""
-    rows = evidence.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("page_start", "evidence_id", "page_end", "quote"))).alias("evidence"))
-    return items.join(rows, "item_id", "left").withColumn("evidence", F.coalesce("evidence", F.array().cast(rows.schema["evidence"].dataType)))
+    """Items with their evidence, nested in order of page and id; items without have an empty array.
+
+    The evidence isn't broadcast: its size, where it comes from a table function, can't be
+    told from that of the files behind it.
+    """
+    rows = nested(evidence, "item_id")
+    return items.join(rows.hint("merge"), "item_id", "left").withColumn("evidence", F.coalesce("evidence", F.array().cast(rows.schema["evidence"].dataType)))
 
 
 def list_items(items: DataFrame, evidence: DataFrame, document_id: str | None = None, item_type: str | None = None, item_id: str | None = None) -> DataFrame:

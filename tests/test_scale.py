@@ -59,3 +59,12 @@ def test_keys_of_facts_are_counted_without_a_join(spark):
     assert "Join" not in plan(got)
     assert facts.new_facts(found, old).where("document_id is not null").count() == both.where("old is null").count()
     assert "Broadcast" not in plan(facts.new_facts(found, old), "executedPlan")
+
+
+def test_evidence_is_never_broadcast(spark):
+    items = spark.createDataFrame([("a", "x"), ("b", "y")], "item_id string, label string")
+    evidence = spark.createDataFrame([("a", 2, "2", 2, "q2"), ("a", 1, "1", 1, "q1")], "item_id string, page_start int, evidence_id string, page_end int, quote string")
+    got = browse.with_evidence(items, evidence)
+    assert {r["label"]: [e["quote"] for e in r["evidence"]] for r in got.collect()} == {"x": ["q1", "q2"], "y": []}
+    assert "Broadcast" not in plan(got, "executedPlan")
+    assert "Join" not in plan(queries.evidence_nested(spark, SF)) and plan(queries.evidence_nested(spark, SF)).count("MapInArrow") == 1
