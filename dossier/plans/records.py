@@ -106,7 +106,7 @@ def browse_created(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(q._with(tb.FACT_SQL, q._FACTS, q._FIRST) + "select document_id, label, page_number as first_page from items where item_type = 'money' and document_id = '4'")
 def listed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items of one document and type with their evidence."""
-    rows = q._items(spark, sf_dir, (*q._SHOWN, "quote")).withColumn("item_id", F.concat_ws("|", "document_id", "item_type", F.col("page_start").cast("string"), "label"))
+    rows = q._items(spark, sf_dir, (*q._SHOWN, "quote"), ("money",)).withColumn("item_id", F.concat_ws("|", "document_id", "item_type", F.col("page_start").cast("string"), "label"))
     evidence = rows.select("item_id", "page_start", F.col("item_id").alias("evidence_id"), F.col("page_start").alias("page_end"), "quote")
     return browse.list_items(rows, evidence, "4", "money").select("document_id", "label", F.get("evidence", F.lit(0))["page_start"].alias("first_page"))
 
