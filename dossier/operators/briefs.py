@@ -24,17 +24,21 @@ def notable(items: DataFrame, max_items: int = MAX_ITEMS) -> DataFrame:
     """Items with evidence, capped by type and document; adds `place` from 1.
 
     items: document_id, item_id, item_type, label, confidence, page_start (null without evidence), created_at.
-    Both windows have limits, so each task keeps only its best before rows meet.
+    Both windows have limits, so each task keeps only its best before rows meet. Types whose own
+    cap can't be reached within `max_items` share one window, so that a task sends no more than
+    `max_items` rows of them for a document.
     """
     cap = None
     for name, k in CAPS.items():
         cap = F.when(F.col("item_type") == name, k) if cap is None else cap.when(F.col("item_type") == name, k)
     ties = [F.coalesce(F.col("confidence"), F.lit(0.0)).desc(), F.col("page_start"), F.lower("label"), F.col("created_at"), F.col("item_id")]
     supported = items.where("page_start is not null").withColumn("_priority", priority(F.col("item_type")))
-    by_type = F.row_number().over(Window.partitionBy("document_id", "item_type").orderBy(*ties))
-    some = supported.withColumn("_k", by_type).where(F.col("_k") <= OTHER_CAP).where(F.col("_k") <= cap.otherwise(OTHER_CAP))
+    most = min(max_items, OTHER_CAP)
+    group = F.when(F.col("item_type").isin(*CAPS), F.col("item_type")).otherwise("other") if max_items <= OTHER_CAP else F.col("item_type")
+    by_type = F.row_number().over(Window.partitionBy("document_id", "_group").orderBy("_priority", *ties))
+    some = supported.withColumn("_group", group).withColumn("_k", by_type).where(F.col("_k") <= most).where(F.col("_k") <= cap.otherwise(most))
     place = F.row_number().over(Window.partitionBy("document_id").orderBy("_priority", *ties))
-    return some.withColumn("place", place).where(F.col("place") <= max_items).drop("_priority", "_k")
+    return some.withColumn("place", place).where(F.col("place") <= max_items).drop("_priority", "_group", "_k")
 
 
 def joined(labels: Column, fallback: str) -> Column:
@@ -88,7 +92,8 @@ def briefs(documents: DataFrame, pages: DataFrame, items: DataFrame) -> DataFram
             (has["entity"], "What role do the named people or organizations play in the document?"),
         ]
     )
-    whole = documents.join(sizes, "document_id", "left").join(listed, "document_id", "left").withColumn("_items", F.coalesce("_items", F.array().cast("array<struct<place:int,item_type:string,label:string>>")))
+    # Merged, not broadcast: sizes of what comes from pages can't be told from the files behind them.
+    whole = documents.join(sizes.hint("merge"), "document_id", "left").join(listed.hint("merge"), "document_id", "left").withColumn("_items", F.coalesce("_items", F.array().cast("array<struct<place:int,item_type:string,label:string>>")))
     enough = F.coalesce(F.col("text_length"), F.lit(0)) >= MIN_TEXT
     return whole.select(
         "document_id",

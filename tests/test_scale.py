@@ -68,3 +68,14 @@ def test_evidence_is_never_broadcast(spark):
     assert {r["label"]: [e["quote"] for e in r["evidence"]] for r in got.collect()} == {"x": ["q1", "q2"], "y": []}
     assert "Broadcast" not in plan(got, "executedPlan")
     assert "Join" not in plan(queries.evidence_nested(spark, SF)) and plan(queries.evidence_nested(spark, SF)).count("MapInArrow") == 1
+
+
+def test_briefs_send_few_rows_of_a_document(spark):
+    items = spark.createDataFrame([("d", f"{k}", k % 9, f"L{k}") for k in range(400)], "document_id string, item_id string, kind int, label string")
+    items = items.select("document_id", "item_id", F.element_at(F.array(*map(F.lit, briefs.ORDER)), F.col("kind") + 1).alias("item_type"), "label", F.lit(0.9).alias("confidence"), F.lit(1).alias("page_start"), F.lit("t").alias("created_at"))
+    got = [(r["place"], r["item_type"], r["label"]) for r in briefs.notable(items).orderBy("place").collect()]
+    assert got == [(1, "topic", "L0"), (2, "topic", "L108"), (3, "topic", "L117"), (4, "action", "L1"), (5, "action", "L10"), (6, "action", "L100"), (7, "action", "L109"), (8, "action", "L118")]
+    assert briefs.notable(items, 200).where("item_type <> 'topic' and item_type <> 'entity'").count() == 197
+    assert "_group" in plan(briefs.notable(items))
+    for name in ("brief_text", "browse_topics", "browse_timeline"):
+        assert "key_quote" not in plan(queries.QUERIES[name](spark, SF))
