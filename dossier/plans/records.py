@@ -98,7 +98,7 @@ def job_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def browse_created(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items, the newest first."""
-    items = q._items(spark, sf_dir, q._SHOWN).withColumns({"item_id": F.concat_ws("|", "document_id", F.col("page_start").cast("string"), "label"), "created_at": F.concat(F.lit("2024-01-"), F.lpad((F.col("page_start") % 28 + 1).cast("string"), 2, "0"))})
+    items = q._items(spark, sf_dir, q._SHOWN, ("action",)).withColumns({"item_id": F.concat_ws("|", "document_id", F.col("page_start").cast("string"), "label"), "created_at": F.concat(F.lit("2024-01-"), F.lpad((F.col("page_start") % 28 + 1).cast("string"), 2, "0"))})
     page = browse.browse(items, q._browse_docs(spark, sf_dir), ("action",), order="created", limit=80)
     return page.select(F.col("place").cast("long").alias("place"), "document_id", "label")
 
