@@ -1,9 +1,12 @@
 """What keeps queries within their limits on large tables, and that the results stay whole there."""
 
+import tracemalloc
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from dossier.operators import briefs, browse, facts
-from dossier.plans import queries
+from dossier.operators import briefs, browse, facts, lexical
+from dossier.plans import queries, records
 from dossier.streaming import watch
 
 SF = "/root/testdata/sf0.001"
@@ -79,3 +82,23 @@ def test_briefs_send_few_rows_of_a_document(spark):
     assert "_group" in plan(briefs.notable(items))
     for name in ("brief_text", "browse_topics", "browse_timeline"):
         assert "key_quote" not in plan(queries.QUERIES[name](spark, SF))
+
+
+def test_stems_hold_only_the_words_of_a_batch():
+    words = ["resting", "rests", "cities", "Ärger", "hoping"]
+    tokens = pa.array([words * 400, None, [], words[:2]] + [words * 400] * 100)
+    assert lexical.stems(tokens.slice(1, 3)).to_pylist() == [None, [], ["rest", "rest"]]
+    tracemalloc.start()
+    got = lexical.stems(tokens)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got[-1].as_py() == [lexical.stem(x) for x in words] * 400 and len(got) == len(tokens)
+    assert peak < 1e6  # 200,000 tokens as Python objects would take ten times that
+
+
+def test_facts_of_documents_runs_the_rules_it_shows(spark, monkeypatch):
+    asked = []
+    real = facts.extract
+    monkeypatch.setattr(facts, "extract", lambda rows, columns, kinds=facts.KINDS: asked.append(set(kinds)) or real(rows, columns, kinds))
+    records.facts_of_documents(spark, SF)
+    assert asked == [{"money", "percentage", "url", "civic_identifier", "topic"}]
