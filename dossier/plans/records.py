@@ -226,9 +226,9 @@ union all select cast(doc_id as varchar), 'topic', x from (select doc_id, text,
 def facts_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts of whole documents of all kinds of text, for the rules that RE2 can say."""
     pages = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.lit(1).alias("page_number"), "text")
-    found = facts.extract(pages, ("document_id", "item_type", "label"))
+    found = facts.extract(pages, ("document_id", "item_type", "label"), ("money", "percentage", "url", "civic_identifier", "topic"))
     topics = F.col("label").isin("grant", "housing", "ordinance", "zoning", "contract")
-    return found.where(F.col("item_type").isin("money", "percentage", "url", "civic_identifier") | ((F.col("item_type") == "topic") & topics))
+    return found.where((F.col("item_type") != "topic") | topics)
 
 
 _CASES = {
