@@ -5,7 +5,7 @@ import tracemalloc
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from dossier.operators import briefs, browse, facts, lexical
+from dossier.operators import briefs, browse, chunks, facts, lexical
 from dossier.plans import queries, records
 from dossier.streaming import watch
 
@@ -102,3 +102,14 @@ def test_facts_of_documents_runs_the_rules_it_shows(spark, monkeypatch):
     monkeypatch.setattr(facts, "extract", lambda rows, columns, kinds=facts.KINDS: asked.append(set(kinds)) or real(rows, columns, kinds))
     records.facts_of_documents(spark, SF)
     assert asked == [{"money", "percentage", "url", "civic_identifier", "topic"}]
+
+
+def test_passages_are_split_without_a_fold_in_the_plan(spark):
+    long = "a line that is long enough to be kept as a passage of its own"
+    text = f"Agenda:\r\n{long}\nand its\x85rest\nPAGE 3 of  9\n• item\x0cgoes on\nJune 5, 2026\nshort\n\nThe following is a brief overview\n{long}"
+    assert chunks.passages_of(text) == [f"{long} and its rest", "• item goes on", long]
+    assert chunks.passages_of("Agenda:\nshort\n-\nwww.x.org") == ["Agenda: short"] and chunks.passages_of(" \n-") == []
+    rows = spark.createDataFrame([("c", "d", 1, 1, text), ("n", "d", 1, 1, None)], "chunk_id string, document_id string, page_start long, page_end long, text string")
+    got = chunks.split_passages(rows)
+    assert [(r["passage_id"], r["ordinal"]) for r in got.orderBy("ordinal").collect()] == [(f"passage-c-00{k}", k) for k in (1, 2, 3)]
+    assert "aggregate(" not in plan(got) and plan(got).count("passage_texts(") == 1
